@@ -5,12 +5,14 @@ from __future__ import annotations
 from tessella.llm.fertility import op10_fertility
 from tessella.llm.language_id import op3_language
 from tessella.llm.longest_match import op4_longest_match
+from tessella.llm.near_dedup import op5_near_dedup
 from tessella.llm.source_mix import op6_source_mix
 from tessella.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op3_language": op3_language,
     "op4_longest_match": op4_longest_match,
+    "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
     "op7_toxicity": op7_toxicity,
     "op10_fertility": op10_fertility,
