@@ -7,6 +7,7 @@ from tessella.llm.language_id import op3_language
 from tessella.llm.longest_match import op4_longest_match
 from tessella.llm.near_dedup import op5_near_dedup
 from tessella.llm.source_mix import op6_source_mix
+from tessella.llm.suffix_dedup import op8_suffix_dedup
 from tessella.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_fertility": op10_fertility,
 }
 
