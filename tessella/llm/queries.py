@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.llm.fertility import op10_fertility
+from tessella.llm.flac import op2_flac
 from tessella.llm.language_id import op3_language
 from tessella.llm.longest_match import op4_longest_match
 from tessella.llm.near_dedup import op5_near_dedup
@@ -11,6 +12,7 @@ from tessella.llm.suffix_dedup import op8_suffix_dedup
 from tessella.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op2_flac": op2_flac,
     "op3_language": op3_language,
     "op4_longest_match": op4_longest_match,
     "op5_near_dedup": op5_near_dedup,
