@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets form classes first; each class is one node, named by its smallest document. MinHash
 bands propose candidates, parity bitmaps of the MinHash samples (odd sketches) estimate their similarity by XOR
-population counts, and what may reach the threshold is confirmed on the full sets, read anew from the texts.
+population counts. A parity bitmap of the whole set then gives a bound that loses nothing: its XOR population count never
+exceeds the symmetric difference. What may reach the threshold is confirmed on the full sets, read anew from the texts.
 
 A bucket never becomes all pairs of its rows. First each node meets its bucket's smallest node. Buckets that still hold
 several components then compare sketches in blocks of BLOCK rows: nodes meet their most similar node of another
@@ -22,15 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.common import byte_view, clash_free, materialize, slices
 
 #: Words a shingle; similarity threshold in percent.
 WORDS, PERCENT = 2, 80
-#: Bands, rows a band (a pair at 0.8 is missed with probability 1e-7); bits of an odd sketch, a multiple of 64.
-BANDS, ROWS, BITS = 40, 5, 1024
+#: Bands, rows a band (a pair at 0.8 is missed with probability 5e-7); bits of an odd sketch and of a set's parity bitmap,
+#: powers of two from 64.
+BANDS, ROWS, BITS, SET_BITS = 48, 6, 1024, 2048
 #: Standard deviations below the threshold that a sketch may estimate before a pair is dropped.
 SLACK = 5.0
 #: Rows compared side by side; groups over which the partners of one node are dealt; most requests that are broadcast.
@@ -93,6 +96,14 @@ def odd_sketches(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits(parity, axis=1).view(">u8").astype(np.uint64)
 
 
+def parities(sets: list[np.ndarray], bits: int = SET_BITS) -> np.ndarray:
+    """(sets, bits / 64) words; bit p is the parity of the set's members that fall on it."""
+    flat = np.concatenate(sets)
+    place = np.repeat(np.arange(len(sets)) * bits, [len(s) for s in sets]) + (flat & np.uint64(bits - 1)).astype(np.int64)
+    parity = (np.bincount(place, minlength=len(sets) * bits) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(len(sets), bits), axis=1).view(">u8").astype(np.uint64)
+
+
 def most_different(percent: int = PERCENT, samples: int = BANDS * ROWS, bits: int = BITS, slack: float = SLACK) -> int:
     """Largest XOR population count of two sketches that may belong to a pair at the threshold."""
     j = percent / 100
@@ -102,7 +113,7 @@ def most_different(percent: int = PERCENT, samples: int = BANDS * ROWS, bits: in
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n_shingles, set_key, bands, sketch (the last two null for an empty set)."""
+    """doc_id, text -> doc_id, n_shingles, set_key, bands, sketch, parity (the last three null for an empty set)."""
     words, n = WordHash(), BANDS * ROWS
     salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
     for piece in slices(batches, "text"):
@@ -111,20 +122,21 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(whole[a:b], words) for a, b in zip(ends, ends[1:])]
         sizes = np.array([len(s) for s in sets])
         full = np.flatnonzero(sizes)
-        bands, sketch = [None] * len(sets), [None] * len(sets)
+        bands, sketch, parity = ([None] * len(sets) for _ in range(3))
         group = np.cumsum(sizes[full]) // CHUNK
         for g in np.unique(group):
             rows = full[group == g]
-            samples = minhashes([sets[i] for i in rows], n)
+            own = [sets[i] for i in rows]
+            samples = minhashes(own, n)
             h = np.broadcast_to(salt, (len(rows), BANDS)).copy()
             for k in range(ROWS):
                 h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + samples[:, k::ROWS])
             odd = odd_sketches(samples)
-            for i, x, y in zip(rows.tolist(), h.view(np.int64), odd.view(np.int64)):
-                bands[i], sketch[i] = x, y
+            for i, x, y, z in zip(rows.tolist(), h.view(np.int64), odd.view(np.int64), parities(own).view(np.int64)):
+                bands[i], sketch[i], parity[i] = x, y, z
         keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        arrays = [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+        arrays = [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -190,15 +202,20 @@ def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def proposals(batches: Iterator[pa.RecordBatch], limit: int, nearest: bool, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Pairs across components from sorted block rows (key, i, j, side, node, component, n, sketch).
+    """Pairs across components from sorted block rows (key, i, j, side, node, component, n, sketch, parity).
 
     A block pair has at most 2 * BLOCK rows; nearest keeps each node's most similar partner only."""
 
-    def pairs_of(node, part, n, side, sketch):
+    def pairs_of(node, part, n, side, sketch, parity):
         rows, cols = (side == 0, side == 1) if (side == 1).any() else (side == 0, side == 0)
         differ = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[cols][None, :, :]).sum(axis=2, dtype=np.int64)
         low, high = np.minimum(n[rows][:, None], n[cols][None, :]), np.maximum(n[rows][:, None], n[cols][None, :])
         ok = (part[rows][:, None] != part[cols][None, :]) & (differ <= limit) & (100 * low >= percent * high)
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 1 << 14):  # the exact bound on what is left
+            i, j = np.flatnonzero(rows)[x[k : k + (1 << 14)]], np.flatnonzero(cols)[y[k : k + (1 << 14)]]
+            least = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+            ok[x[k : k + (1 << 14)], y[k : k + (1 << 14)]] = least * (100 + percent) <= (n[i] + n[j]) * (100 - percent)
         if nearest:
             differ = np.where(ok, differ, BITS + 1)
             keep = np.zeros_like(ok)
@@ -216,7 +233,8 @@ def proposals(batches: Iterator[pa.RecordBatch], limit: int, nearest: bool, perc
         table = pa.Table.from_batches(held)
         part = [table.column(c).to_numpy() for c in ("node", "component", "n", "side")]
         sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        a, b = pairs_of(*part, sketch)
+        parity = table.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        a, b = pairs_of(*part, sketch, parity)
         return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}) if len(a) else None
 
     for batch in batches:
@@ -236,42 +254,49 @@ def proposals(batches: Iterator[pa.RecordBatch], limit: int, nearest: bool, perc
 
 def open_blocks(rows: DataFrame, reps: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows of buckets with several components, dealt over pairs of blocks of about BLOCK rows."""
-    told = labelled(rows, parts)
-    buckets = told.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("m > 2 and c0 <> c1").select("key", "m")
-    wide = told.join(buckets, "key").join(reps.select("node", "sketch"), "node")
+    told = labelled(rows.filter("m > 2").select("node", "key", "n", "m"), parts)
+    buckets = told.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    wide = told.join(buckets, "key").join(reps, "node")
     n = F.ceil(F.col("m") / (0.8 * BLOCK)).cast("int")
     wide = wide.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = wide.select("key", "node", "component", "n", "sketch", "own", other.alias("other"))
+    dealt = wide.select("key", "node", "component", "n", "sketch", "parity", "own", other.alias("other"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = (F.col("own") > F.col("other")).cast("int")
-    return dealt.select("key", i.alias("i"), j.alias("j"), side.alias("side"), "node", "component", "n", "sketch")
+    return dealt.select("key", i.alias("i"), j.alias("j"), side.alias("side"), "node", "component", "n", "sketch", "parity")
+
+
+def differing(x: str, y: str) -> Column:
+    """Population count of the XOR of two word arrays."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs(doc_id, text)."""
     docs = clash_free(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sig = materialize(docs.mapInArrow(signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"), "signatures")
-    copies = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    node = F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    own = F.col("doc_id") == F.col("node")
-    placed = sig.join(copies, "set_key", "left").withColumn("node", node)
-    placed = placed.select("doc_id", "n_shingles", "node", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("sketch")).alias("sketch"))
-    placed = materialize(placed, "placed")
-
-    reps = placed.filter("bands is not null").select("node", F.col("n_shingles").alias("n"), "bands", "sketch")
-    rows = reps.select("node", "n", F.explode("bands").alias("key"))
-    leads = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sig = docs.mapInArrow(signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
+    sig = materialize(sig, "signatures")
+    held = sig.filter("n_shingles > 0 and doc_id is not null")
+    copies = held.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep <> top").drop("top")
+    placed = sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left")
+    placed = materialize(placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")), "placed")
+
+    others = placed.filter("node <> doc_id").select("doc_id").distinct()
+    reps = held.select(F.col("doc_id").alias("node"), "sketch", "parity")
+    rows = held.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    bucket = W.partitionBy("key")
+    rows = rows.select("key", "node", "n", F.min(F.struct("node", "n")).over(bucket).alias("lead"), F.count(F.lit(1)).over(bucket).alias("m"))
+    rows = materialize(rows.filter("m > 1"), "buckets")
     alike = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
-    pairs = rows.join(leads, "key").filter((F.col("lead.node") != F.col("node")) & alike).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct()
-    limit = most_different(percent)
-    sketches = reps.select("node", "sketch")
-    both = pairs.join(sketches.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b").join(sketches.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    checked = materialize(both.filter(differ <= limit).select("a", "b").distinct(), "pairs")
+    pairs = rows.filter((F.col("lead.node") != F.col("node")) & alike)
+    pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("lead.n")).alias("sizes")).distinct()
+    both = pairs.join(reps.toDF("b", "sb", "pb"), "b").join(reps.toDF("a", "sa", "pa"), "a")
+    may = (differing("sa", "sb") <= most_different(percent)) & (differing("pa", "pb") * (100 + percent) <= F.col("sizes") * (100 - percent))
+    checked = materialize(both.filter(may).select("a", "b").distinct(), "pairs")
     edges = confirm(docs, checked, percent)
     parts = components(edges)
 
+    limit = most_different(percent)
     for nearest in (True, False):
         blocks = open_blocks(rows, reps, parts).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         found = blocks.mapInArrow(lambda batches, n=nearest: proposals(batches, limit, n, percent), "a long, b long").distinct()
@@ -283,7 +308,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not more.isEmpty():
             parts = components(edges)
 
-    out = labelled(placed.select("doc_id", "n_shingles", "node"), parts)
+    out = labelled(placed, parts)
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
