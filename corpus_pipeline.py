@@ -1,13 +1,70 @@
-"""From raw documents to packed training batches."""
+"""From raw documents to packed training batches, in five stages over the corpus operators.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and decides on all rows its predecessor kept. All but the last return the columns
+of documents: doc_id, text, lang, source, n_chars.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.llm.common import materialize, word_count
+from tessella.llm.fertility import fertility
+from tessella.llm.longest_match import token_counts
+from tessella.llm.near_dedup import near_groups
+from tessella.llm.packing import pack
+from tessella.llm.source_mix import entropy_mix
+from tessella.llm.suffix_dedup import drop_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the fertility bands reject go."""
+    return fertility(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one of the smallest identifier; of rows that repeat an
+    identifier, one."""
+    docs = docs.select(*COLUMNS)
+    gone = near_groups(docs).filter(~F.col("kept")).select("doc_id")
+    again = materialize(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if not again.isEmpty():
+        once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+        docs = docs.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(once)
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut out of the texts; a document of which nothing is left goes.
 
+    Cuts fall on bytes; a character that loses some of its bytes goes with them."""
+    left = drop_repeats(docs, carry=("lang", "source")).filter(F.length("kept_text") > 0)
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    mixed = entropy_mix(docs.select(*COLUMNS, word_count(F.col("text")).alias("size"))).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their bucket width, batch and slot."""
+    return pack(materialize(token_counts(docs.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens"), "lengths"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixing", mixing), ("packing", packing)]
+
+#: Newton steps, suffix arrays and the vocabulary's measures have no SQL form; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; each stage's result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

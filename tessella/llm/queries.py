@@ -7,11 +7,14 @@ from tessella.llm.flac import op2_flac
 from tessella.llm.language_id import op3_language
 from tessella.llm.longest_match import op4_longest_match
 from tessella.llm.near_dedup import op5_near_dedup
+from tessella.llm.packing import op9_packing
 from tessella.llm.source_mix import op6_source_mix
 from tessella.llm.suffix_dedup import op8_suffix_dedup
 from tessella.llm.toxicity import op7_toxicity
+from tessella.llm.warc import op1_transactions
 
 QUERIES = {
+    "op1_transactions": op1_transactions,
     "op2_flac": op2_flac,
     "op3_language": op3_language,
     "op4_longest_match": op4_longest_match,
@@ -19,6 +22,7 @@ QUERIES = {
     "op6_source_mix": op6_source_mix,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_packing": op9_packing,
     "op10_fertility": op10_fertility,
 }
 
