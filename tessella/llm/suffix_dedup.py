@@ -22,14 +22,16 @@ each other; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import byte_view, clash_free, materialize, slices
 from tessella.llm.near_dedup import mixed
@@ -186,16 +188,19 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identity = mixed((sums[hi + LENGTH] - sums[lo]) * down[lo]) ^ mixed(h + (hi - lo).astype(np.uint64))
         doc = batch.column("doc_id").to_numpy()[rows_of[row]]
         local = lo - offsets[row] + shift[row]
-        order = np.lexsort((local, doc, identity))
-        first = np.ones(len(order), bool)
-        first[1:] = identity[order][1:] != identity[order][:-1]
         tkey = batch.column("tkey").to_numpy()[rows_of[row]]
+        order = np.lexsort((local, doc, identity))
+        later = np.zeros(len(order), bool)
+        later[order[1:]] = identity[order[1:]] == identity[order[:-1]]
         whole = data.tobytes()
-        content = [whole[a:b] if f else None for a, b, f in zip(lo[order].tolist(), (hi[order] + LENGTH).tolist(), first.tolist())]
-        h, doc, tkey, local, span = h[order].view(np.int64), doc[order], tkey[order], local[order], (hi - lo)[order]
-        route = np.where(first, h, mixed(h.view(np.uint64) ^ mixed(doc.view(np.uint64) + local.astype(np.uint64))).view(np.int64))
-        arrays = [route, h, doc, tkey, local, local + span]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(content, pa.binary())], names=[c.split()[0] for c in UNIT_SCHEMA.split(", ")])
+        content = [None if x else whole[a:b] for a, b, x in zip(lo.tolist(), (hi + LENGTH).tolist(), later.tolist())]
+        joins = np.zeros(len(row), bool)  # settled units that follow each other in a text travel as one row
+        joins[1:] = later[1:] & later[:-1] & (row[1:] == row[:-1]) & (lo[1:] == hi[:-1] + 1)
+        head = np.flatnonzero(~joins)
+        tail = np.append(head[1:], len(row)) - 1
+        route = np.where(later, mixed(h ^ mixed(doc.view(np.uint64) + local.astype(np.uint64))), h).view(np.int64)
+        arrays = [route[head], h.view(np.int64)[head], doc[head], tkey[head], local[head], (local + hi - lo)[tail]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array([content[i] for i in head.tolist()], pa.binary())], names=[c.split()[0] for c in UNIT_SCHEMA.split(", ")])
 
 
 SYMBOLS = 7
@@ -319,18 +324,25 @@ class Marker:
 
     def close(self, more: bool) -> list[tuple[int, int, int, int]]:
         """(doc_id, tkey, start, end) of windows' bytes to remove. more: the next rows continue the last anchor."""
-        out, classes = [], {}
-        for _, doc, tkey, lo, content in self.rows:
+        out, classes, kinds = [], {}, Counter()
+        for h, doc, tkey, lo, content in self.rows:
             if content in classes:
                 out.append((doc, tkey, lo, lo + len(content)))
             else:
-                classes[content] = (doc, tkey, lo)
-        continued = self.rows[-1][0] if self.rows else None
-        later = [content for h, _, _, _, content in self.rows if h == continued] if more else []
+                classes[content] = (h, doc, tkey, lo)
+                kinds[h] += 1
+        # A unit that is alone with its anchor has no equal windows: they would have anchors of their own. An anchor
+        # that goes on before or after this shard may still meet others.
+        goes_on = {self.rows[-1][0]} if more else set()
+        goes_on |= {self.rows[0][0]} if self.earlier else set()
+        classes = {content: x for content, x in classes.items() if kinds[x[0]] > 1 or x[0] in goes_on}
+        continued = self.rows[-1][0] if more else None
         self.rows, self.size = [], 0
         if not classes:
+            self.earlier = [] if not more else self.earlier
             return out
-        strings, facts = list(classes), list(classes.values())
+        strings, facts = list(classes), [x[1:] for x in classes.values()]
+        anchors = [x[0] for x in classes.values()]
         shard = Shard(strings)
         doc, start = np.array([f[0] for f in facts]), np.array([f[2] for f in facts])
         long = shard.end[shard.order] - shard.order >= LENGTH
@@ -356,7 +368,7 @@ class Marker:
             shift = lo - int(shard.starts[shard.owner[b]])
             out.append((d, t, b + shift, e - 1 + shift + LENGTH))
         if more:
-            inside = np.array([s in set(later) for s in strings])
+            inside = np.array([h == continued for h in anchors])
             keep = slots[inside[own] & ~gone[at]]
             self.earlier.append((shard, keep))
         else:
@@ -373,24 +385,23 @@ def removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tkey", "start", "end"])
 
     for batch in batches:
-        settled = []
-        for h, doc, tkey, lo, hi, content in zip(*(batch.column(c).to_pylist() for c in ("hash", "doc_id", "tkey", "lo", "hi", "bytes"))):
-            if content is None:
-                settled.append((doc, tkey, lo, hi + LENGTH))
-                continue
+        settled = batch.filter(batch.column("bytes").is_null())
+        if settled.num_rows:
+            yield pa.RecordBatch.from_arrays([settled.column("doc_id"), settled.column("tkey"), settled.column("lo"), pc.add(settled.column("hi"), LENGTH)], names=["doc_id", "tkey", "start", "end"])
+        open_rows = batch.filter(batch.column("bytes").is_valid())
+        for row in zip(*(open_rows.column(c).to_pylist() for c in ("hash", "doc_id", "tkey", "lo", "bytes"))):
             if marker.size >= SHARD_BYTES:
-                yield table(marker.close(more=h == last))
-            elif marker.earlier and h != last:
+                yield table(marker.close(more=row[0] == last))
+            elif marker.earlier and row[0] != last:
                 yield table(marker.close(more=False))
-            marker.add((h, doc, tkey, lo, content))
-            last = h
-        if settled:
-            yield table(settled)
+            marker.add(row)
+            last = row[0]
     yield table(marker.close(more=False))
 
 
-def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, spans(start, end), copy -> the result, with the kept bytes."""
+def kept_rows(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = (), with_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """doc_id, carried columns, text, spans(start, end), copy -> the result, with the text of the kept bytes on demand.
+    Bytes of a character that is cut into are left out of that text."""
     for batch in slices(batches, "text"):
         data, offsets = byte_view(batch.column("text"))
         out = []
@@ -411,19 +422,15 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((n, int(gone.sum()), starts, own[~gone].tobytes()))
         n, removed, spans, kept = zip(*out)
         digest = [hashlib.sha256(k).hexdigest() for k in kept]
-        arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver notice that finished phases' shuffle files are no longer needed."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        arrays = [batch.column(c) for c in ("doc_id", *carry)] + [pa.array(x, pa.int64()) for x in (n, removed, spans)] + [pa.array(digest, pa.string())]
+        names = ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if with_text:
+            arrays, names = arrays + [pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())], names + ["kept_text"]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, spans, copy for docs(doc_id, text) of which something is removed."""
-    spark = docs.sparkSession
     keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     anchors = keyed.select("text", "tkey").mapInArrow(anchor_rows, "route long, hash long, tkey long, known boolean")
     shared = anchors.repartition("route").sortWithinPartitions("hash").mapInArrow(shared_rows, "tkey long, hash long")
@@ -434,26 +441,26 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copied = classes.filter("rep <> top").drop("top")
     copies = names.join(copied, ["tkey", "tkey2"]).filter("doc_id <> rep").select("doc_id", "tkey").distinct()
     reps = materialize(wanted.join(classes.select("tkey", F.col("rep").alias("doc_id")).distinct(), "tkey"), "wanted")
-    release(spark)
 
     found = keyed.join(reps, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hashes").mapInArrow(unit_rows, UNIT_SCHEMA)
     dealt = found.repartition("route").sortWithinPartitions("hash", "doc_id", "lo")
     spans = dealt.mapInArrow(removed_rows, "doc_id long, tkey long, start long, end long")
     spans = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    release(spark)
     both = spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     return materialize(both, "removed")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes for docs(doc_id, text)."""
-    docs = clash_free(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    gone = repeated_spans(docs)
-    keyed = docs.withColumn("tkey", F.xxhash64("text"))
-    joined = keyed.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return joined.mapInArrow(kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def drop_repeats(docs: DataFrame, carry: tuple[str, ...] = (), with_text: bool = True) -> DataFrame:
+    """doc_id, carried columns, n_bytes, n_removed, n_spans, kept_sha256 and kept_text for docs(doc_id, text, ...)."""
+    docs = clash_free(docs, "doc_id", "text", *carry).withColumn("doc_id", F.col("doc_id").cast("long"))
+    gone = repeated_spans(docs.select("doc_id", "text"))
+    keyed = docs.withColumn("_tkey", F.xxhash64("text"))
+    joined = keyed.join(gone.withColumnRenamed("tkey", "_tkey"), ["doc_id", "_tkey"], "left").select("doc_id", *carry, "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
+    told = T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    schema = T.StructType([docs.schema[c] for c in ("doc_id", *carry)] + told.fields)
+    return joined.mapInArrow(lambda batches: kept_rows(batches, carry, with_text), schema)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What removal of repeated 100-byte strings leaves of every document."""
-    return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
