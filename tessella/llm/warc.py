@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import clash_free, scratch, slices
+from tessella.llm.common import clash_free, materialize, scratch, slices
 
 #: Least bytes of a payload that others may revisit; compressed bytes of a chunk; chunks of an archive file.
 REVISIT_BYTES, CHUNK_BYTES, CHUNKS = 1000, 1 << 20, 8
@@ -222,7 +222,7 @@ def op1_transactions(spark, sf_dir: str) -> DataFrame:
     """Archives of all pages written, read back and assembled: one row per page."""
     path = scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    captures = assemble(read_records(spark, path))
+    captures = assemble(materialize(read_records(spark, path), "records"))  # parsed once for the joins that follow
     fields = F.col("metadata")[0]["fields"]
     page = F.element_at(fields, "page-id").cast("long")
     refers = F.element_at(fields, "refers-to-page-id").cast("long")
