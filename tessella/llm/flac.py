@@ -340,7 +340,9 @@ def decode_channel(bits: Bits, at: np.ndarray, sizes: np.ndarray, depth: np.ndar
             own[has] += depth[has]
         coefs, shift = np.zeros((top, len(lane)), np.int64), np.zeros(len(lane), np.int64)
         for o in range(1, 5):
-            coefs[:o, kind[lane] == 8 + o] = np.array(FIXED[o])[:, None]
+            has = np.flatnonzero(kind[lane] == 8 + o)
+            if len(has):
+                coefs[:o, has] = np.array(FIXED[o])[:, None]
         lpc = np.flatnonzero(kind[lane] >= 32)
         if len(lpc):
             width = bits.read(own[lpc], 4) + 1
