@@ -174,7 +174,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFr
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, component (smallest node reachable) for every node of edges(a, b), by alternating star contractions.
+    """node, component (smallest node reachable) for every node of edges(a, b) that is not itself the smallest, by
+    alternating star contractions.
 
     The smallest neighbour of each node is a partially aggregated minimum; the joins that follow can be split when one
     node has very many edges."""

@@ -99,13 +99,13 @@ def units(data: np.ndarray, offsets: np.ndarray, powers: Powers):
     return rows[first], h[anchor[first]], at[first], at[last], sums
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices with their bytes, offsets, row of each part and start of each part in its text. Texts longer than PIECE
-    are parted with LENGTH - 1 bytes of overlap, so that each window is in exactly one part."""
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Slices with their bytes, offsets, row of each part and start of each part in its text, and whether the text is
+    parted. Texts longer than PIECE are, with LENGTH - 1 bytes of overlap, so that each window is in exactly one part."""
     for batch in slices(batches, "text"):
         data, offsets = byte_view(batch.column("text"))
         if len(data) <= PIECE:
-            yield batch, data, offsets, np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            yield batch, data, offsets, np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), False
             continue
         for row in range(batch.num_rows):
             own = data[offsets[row] : offsets[row + 1]]
@@ -113,14 +113,14 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 part = own[start : start + PIECE]
                 if start and len(part) < LENGTH:
                     break
-                yield batch, part, np.array([0, len(part)]), np.array([row]), np.array([start])
+                yield batch, part, np.array([0, len(part)]), np.array([row]), np.array([start]), len(own) > PIECE
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text, tkey -> route, hash, tkey, known. An anchor met with several texts here is known to be shared: one of its
     rows goes to the anchor's task to tell others, the rest are dealt anywhere."""
     powers = Powers()
-    for batch, data, offsets, rows_of, _ in pieces(batches):
+    for batch, data, offsets, rows_of, _, parted in pieces(batches):
         row, h, _, _, _ = units(data, offsets, powers)
         if not len(row):
             continue
@@ -132,7 +132,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = new.copy()
         fresh[1:] |= tkey[1:] != tkey[:-1]
         group = np.cumsum(new) - 1
-        known = (np.bincount(group) > 1)[group][fresh]
+        known = (np.bincount(group) > 1)[group][fresh] | parted  # the parts of a text may share anchors
         h, tkey, lead = h[fresh], tkey[fresh], new[fresh]
         route = np.where(lead, h, mixed(h ^ tkey.view(np.uint64)))
         yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(h.view(np.int64)), pa.array(tkey), pa.array(known)], names=["route", "hash", "tkey", "known"])
@@ -173,7 +173,7 @@ def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, tkey, text, hashes -> units with shared anchors. Of equal units the earliest travels with its bytes; the
     others are settled here and travel without (null bytes: remove windows lo..hi)."""
     powers = Powers()
-    for batch, data, offsets, rows_of, shift in pieces(batches):
+    for batch, data, offsets, rows_of, shift, _ in pieces(batches):
         row, h, lo, hi, sums = units(data, offsets, powers)
         wanted, ends = batch.column("hashes"), np.asarray(batch.column("hashes").offsets)
         flat = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
