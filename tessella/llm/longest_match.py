@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,41 @@ LONG_WORD, CACHE = 64, 400_000
 
 @dataclass
 class Automaton:
-    """edges: sorted node * 256 + byte; to: the child of each; fail, popped: per node, fail -1 where there is none."""
+    """edges: node * 256 + byte of each trie edge; to: its child; fail, popped: per node, fail -1 where there is none.
+    keys, targets: the edges as an open-addressing hash table with at most 1 in 4 slots taken, -1 where free."""
 
     edges: np.ndarray
     to: np.ndarray
     fail: np.ndarray
     popped: np.ndarray
 
+    def __post_init__(self):
+        self.shift = np.uint64(64 - max(4, int(4 * len(self.edges) - 1).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.targets = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        left, slot = np.arange(len(self.edges)), self.slots(self.edges)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            where, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[where], self.targets[where] = self.edges[left[won]], self.to[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def near(self, word: bytes) -> dict[int, int]:
+        """Edges by any of the word's bytes, at most one per node and byte; kept for the latest word."""
+        if getattr(self, "_near", (None,))[0] != word:
+            pick = np.isin(self.edges & 255, list(word))
+            self._near = (word, dict(zip(self.edges[pick].tolist(), self.to[pick].tolist())))
+        return self._near[1]
+
+    def parts(self) -> dict:
+        return {"edges": self.edges, "to": self.to, "fail": self.fail, "popped": self.popped}
+
 
 def read_vocabulary(path: str) -> list[bytes]:
     """Pieces of a .tiktoken file: base64 and rank on each line."""
@@ -85,60 +114,77 @@ def build(pieces: Iterable[bytes]) -> Automaton:
 def step(a: Automaton, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Children by symbol, -1 where there is none."""
     keys = nodes << 8 | symbols
-    at = np.minimum(np.searchsorted(a.edges, keys), len(a.edges) - 1)
-    return np.where(a.edges[at] == keys, a.to[at], -1)
-
-
-def count_together(a: Automaton, words: list[bytes]) -> np.ndarray:
-    """Tokens of each word, -1 if unknown; all words advance one byte per round."""
-    order = np.argsort([-len(w) for w in words], kind="stable")
-    lengths = np.array([len(words[i]) for i in order])
-    width = int(lengths[0]) if len(lengths) else 0
-    grid = np.zeros((len(words), width), np.uint8)
-    for row, i in enumerate(order):
-        grid[row, : len(words[i])] = np.frombuffer(words[i], np.uint8)
-    node, count, dead = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-    live = len(words)
-    for k in range(width):
+    slot = a.slots(keys)
+    found = a.keys[slot]
+    out = np.where(found == keys, a.targets[slot], -1).astype(np.int64)
+    lane = np.flatnonzero((found != keys) & (found >= 0))
+    while len(lane):
+        slot[lane] = (slot[lane] + 1) & (len(a.keys) - 1)
+        found = a.keys[slot[lane]]
+        hit = found == keys[lane]
+        out[lane[hit]] = a.targets[slot[lane[hit]]]
+        lane = lane[~hit & (found >= 0)]
+    return out
+
+
+def count_together(a: Automaton, words: list[bytes], lead: bytes = b"") -> np.ndarray:
+    """Tokens of each word after lead, -1 if unknown; all words advance one byte per round."""
+    start, before = walk(a.near(lead), a, lead)
+    n = len(words)
+    if start < 0:
+        return np.full(n, -1)
+    lengths = np.fromiter(map(len, words), np.int64, n)
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    order = np.argsort(-lengths, kind="stable")
+    begin, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    node, count, dead = np.full(n, start), np.full(n, before), np.zeros(n, bool)
+
+    def give_up(lanes: np.ndarray) -> np.ndarray:
+        """Pop what the nodes hold and follow their links; the lanes that go on."""
+        back = a.fail[node[lanes]]
+        count[lanes] += a.popped[node[lanes]]
+        dead[lanes[back < 0]] = True
+        node[lanes] = np.maximum(back, 0)
+        return lanes[back >= 0]
+
+    live = n
+    for k in range(int(lengths[0]) if n else 0):
         while live and lengths[live - 1] <= k:
             live -= 1
         lanes = np.flatnonzero(~dead[:live])
         while len(lanes):
-            nxt = step(a, node[lanes], grid[lanes, k].astype(np.int64))
+            nxt = step(a, node[lanes], flat[begin[lanes] + k].astype(np.int64))
             ok = nxt >= 0
             node[lanes[ok]] = nxt[ok]
-            lanes = lanes[~ok]
-            back = a.fail[node[lanes]]
-            count[lanes] += a.popped[node[lanes]]
-            dead[lanes[back < 0]] = True
-            node[lanes] = np.maximum(back, 0)
-            lanes = lanes[back >= 0]
+            lanes = give_up(lanes[~ok])
     lanes = np.flatnonzero(~dead & (node > 0))
     while len(lanes):
-        back = a.fail[node[lanes]]
-        count[lanes] += a.popped[node[lanes]]
-        dead[lanes[back < 0]] = True
-        node[lanes] = np.maximum(back, 0)
-        lanes = lanes[(back > 0)]
-    out = np.empty(len(words), np.int64)
+        lanes = give_up(lanes)
+        lanes = lanes[node[lanes] > 0]
+    out = np.empty(n, np.int64)
     out[order] = np.where(dead, -1, count)
     return out
 
 
-def count_one(edges: dict[int, int], a: Automaton, word: bytes) -> int:
-    """Tokens of one word, -1 if unknown."""
+def walk(edges: dict[int, int], a: Automaton, word: bytes) -> tuple[int, int]:
+    """Node and popped tokens after reading word from the root; node -1 if the word cannot be matched."""
     v = n = 0
-    fail, popped = a.fail, a.popped
     for b in word:
         while (nxt := edges.get(v << 8 | b)) is None:
-            n += int(popped[v])
-            v = int(fail[v])
+            n += int(a.popped[v])
+            v = int(a.fail[v])
             if v < 0:
-                return -1
+                return -1, n
         v = nxt
+    return v, n
+
+
+def count_one(edges: dict[int, int], a: Automaton, word: bytes) -> int:
+    """Tokens of one word, -1 if unknown."""
+    v, n = walk(edges, a, word)
     while v > 0:
-        n += int(popped[v])
-        v = int(fail[v])
+        n += int(a.popped[v])
+        v = int(a.fail[v])
     return -1 if v < 0 else n
 
 
@@ -149,13 +195,13 @@ class Counter:
         self.a, self.lead, self.known, self.edges = automaton, lead, {}, None
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
+        fresh = words - self.known.keys()
         if len(self.known) + len(fresh) > CACHE:
-            self.known, fresh = {}, list(words)
+            self.known, fresh = {}, words
         short = [w for w in fresh if len(w) <= LONG_WORD]
-        for i in range(0, len(short), 1 << 15):
-            part = short[i : i + (1 << 15)]
-            self.known.update(zip(part, count_together(self.a, [self.lead + w for w in part]).tolist()))
+        for i in range(0, len(short), 1 << 16):
+            part = short[i : i + (1 << 16)]
+            self.known.update(zip(part, count_together(self.a, part, self.lead).tolist()))
         for w in fresh:
             if len(w) > LONG_WORD:
                 if self.edges is None:
@@ -168,7 +214,7 @@ class Counter:
         self.learn(set().union(*words))
         get, n = self.known.__getitem__, len(texts)
         sizes = np.fromiter(map(len, words), np.int64, n)
-        each = np.fromiter((get(w) for ws in words for w in ws), np.int64, int(sizes.sum()))
+        each = np.fromiter(map(get, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         row = np.repeat(np.arange(n), sizes)
         unknown = np.bincount(row, each < 0, minlength=n).astype(np.int64)
         return sizes, np.bincount(row, np.where(each < 0, 1, each), minlength=n).astype(np.int64), unknown
@@ -179,7 +225,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, lead: bytes = b"
     added = T._parse_datatype_string(SCHEMA)
     docs = docs.drop(*(c for c in added.names if c != text))
     schema = T.StructType(docs.schema.fields + added.fields)
-    shared = docs.sparkSession.sparkContext.broadcast(build(read_vocabulary(vocabulary)).__dict__)
+    shared = docs.sparkSession.sparkContext.broadcast(build(read_vocabulary(vocabulary)).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(Automaton(**shared.value), lead)
