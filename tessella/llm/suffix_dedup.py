@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from tessella.llm.common import byte_view, clash_free, materialize, slices
 from tessella.llm.near_dedup import mixed
 
-#: Bytes of a removable string; bytes of a gram; bytes of units that one suffix array holds.
-LENGTH, GRAM, SHARD_BYTES = 100, 32, 2 << 20
+#: Bytes of a removable string; bytes of a gram; bytes of units that one suffix array holds; texts of an anchor that one
+#: task takes; most anchors whose list is broadcast.
+LENGTH, GRAM, SHARD_BYTES, MOST_UNITS, BROADCAST_ROWS = 100, 32, 2 << 20, 20_000, 100_000
 #: Gram starts of one window.
 WINDOW = LENGTH - GRAM + 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,8 +118,8 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text, tkey -> route, hash, tkey, known. An anchor met with several texts here is known to be shared: one of its
-    rows goes to the anchor's task to tell others, the rest are dealt anywhere."""
+    """text, tkey -> route, hash, tkey, texts. Of an anchor met with several texts here, one row goes to the anchor's task
+    and tells how many there were; the rest are dealt anywhere, with texts = 0."""
     powers = Powers()
     for batch, data, offsets, rows_of, _, parted in pieces(batches):
         row, h, _, _, _ = units(data, offsets, powers)
@@ -132,18 +133,22 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = new.copy()
         fresh[1:] |= tkey[1:] != tkey[:-1]
         group = np.cumsum(new) - 1
-        known = (np.bincount(group) > 1)[group][fresh] | parted  # the parts of a text may share anchors
+        texts = np.bincount(group, fresh).astype(np.int64)
+        often = np.bincount(group) > 1  # or more than once in a text, or perhaps in several parts of one
+        texts = np.where(often | parted, np.maximum(texts, 2), texts)[group][fresh]
         h, tkey, lead = h[fresh], tkey[fresh], new[fresh]
+        texts = np.where(lead, texts, 0)
         route = np.where(lead, h, mixed(h ^ tkey.view(np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(h.view(np.int64)), pa.array(tkey), pa.array(known)], names=["route", "hash", "tkey", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array(route.view(np.int64)), pa.array(h.view(np.int64)), pa.array(tkey), pa.array(texts)], names=["route", "hash", "tkey", "texts"])
 
 
 def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by hash -> tkey, hash of anchors that are known to be shared or come with several texts."""
+    """Rows sorted by hash -> tkey, hash of anchors that are known to be shared or come with several texts, and whether
+    the anchor has more than MOST_UNITS of them."""
     held = None
     for batch in _with_end(batches):
         if batch is not None:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "tkey", "known")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "tkey", "texts")]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             end = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
         else:
@@ -151,14 +156,15 @@ def shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return
             now, end = held, len(held[0])
         held = [x[end:] for x in now]
-        h, tkey, known = (x[:end] for x in now)
+        h, tkey, texts = (x[:end] for x in now)
         if not end:
             continue
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        many = (np.minimum.reduceat(tkey, start) != np.maximum.reduceat(tkey, start)) | np.maximum.reduceat(known, start)
-        out = np.repeat(many, np.diff(np.append(start, end)))
+        many = (np.minimum.reduceat(tkey, start) != np.maximum.reduceat(tkey, start)) | np.logical_or.reduceat(texts != 1, start)
+        sizes = np.diff(np.append(start, end))
+        out, hot = np.repeat(many, sizes), np.repeat(np.add.reduceat(texts, start) > MOST_UNITS, sizes)
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(tkey[out]), pa.array(h[out])], names=["tkey", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(tkey[out]), pa.array(h[out]), pa.array(hot[out])], names=["tkey", "hash", "hot"])
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -169,21 +175,34 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 UNIT_SCHEMA = "route long, hash long, doc_id long, tkey long, lo long, hi long, bytes binary"
 
 
+def listed(lists: pa.Array, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each hash is in the list of its row."""
+    ends = np.asarray(lists.offsets)
+    flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)[ends[0] : ends[-1]]
+    owner = np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(ends))
+    salt = np.uint64(0xD6E8FEB86659FD93)
+    return np.isin(mixed(h ^ (row.astype(np.uint64) * salt)), mixed(flat ^ (owner * salt)))
+
+
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tkey, text, hashes -> units with shared anchors. Of equal units the earliest travels with its bytes; the
+    """doc_id, tkey, text, hashes, hots -> units with shared anchors, those of hots as single windows. Of equal units the earliest travels with its bytes; the
     others are settled here and travel without (null bytes: remove windows lo..hi)."""
     powers = Powers()
     for batch, data, offsets, rows_of, shift, _ in pieces(batches):
         row, h, lo, hi, sums = units(data, offsets, powers)
-        wanted, ends = batch.column("hashes"), np.asarray(batch.column("hashes").offsets)
-        flat = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
-        owner = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(ends))
-        flat = flat[ends[0] : ends[-1]]
-        salt = np.uint64(0xD6E8FEB86659FD93)
-        hit = np.isin(mixed(h ^ (rows_of[row].astype(np.uint64) * salt)), mixed(flat ^ (owner * salt)))
+        hit = listed(batch.column("hashes"), rows_of[row], h)
         row, h, lo, hi = row[hit], h[hit], lo[hit], hi[hit]
         if not len(row):
             continue
+        hot = listed(batch.column("hots"), rows_of[row], h)
+        if hot.any():
+            spread = np.where(hot, hi - lo + 1, 1)
+            step = np.arange(int(spread.sum())) - np.repeat(np.cumsum(spread) - spread, spread)
+            row, h, hot, lo, hi = (np.repeat(x, spread) for x in (row, h, hot, lo, hi))
+            lo = lo + step
+            hi = np.where(hot, lo, hi)
+            _, down = powers.get(len(data) + 1)
+            h = np.where(hot, mixed(mixed((sums[lo + LENGTH] - sums[lo]) * down[lo]) + BASE), h)
         _, down = powers.get(len(data) + 1)
         identity = mixed((sums[hi + LENGTH] - sums[lo]) * down[lo]) ^ mixed(h + (hi - lo).astype(np.uint64))
         doc = batch.column("doc_id").to_numpy()[rows_of[row]]
@@ -432,17 +451,25 @@ def kept_rows(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = (), wi
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tkey, spans, copy for docs(doc_id, text) of which something is removed."""
     keyed = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    anchors = keyed.select("text", "tkey").mapInArrow(anchor_rows, "route long, hash long, tkey long, known boolean")
-    shared = anchors.repartition("route").sortWithinPartitions("hash").mapInArrow(shared_rows, "tkey long, hash long")
-    wanted = materialize(shared.groupBy("tkey").agg(F.collect_list("hash").alias("hashes")), "anchors")
+    anchors = keyed.select("text", "tkey").mapInArrow(anchor_rows, "route long, hash long, tkey long, texts long")
+    shared = materialize(anchors.repartition("route").sortWithinPartitions("hash").mapInArrow(shared_rows, "tkey long, hash long, hot boolean"), "shared")
+    wanted = shared.groupBy("tkey").agg(F.collect_list("hash").alias("hashes"))
+    hot = materialize(shared.filter("hot").select("hash").distinct(), "hot")
+    few = hot.limit(BROADCAST_ROWS + 1).count()
+    if few:
+        hots = shared.join(F.broadcast(hot) if few <= BROADCAST_ROWS else hot, "hash", "left_semi").groupBy("tkey").agg(F.collect_list("hash").alias("hots"))
+        wanted = wanted.join(hots, "tkey", "left")
+    else:
+        wanted = wanted.withColumn("hots", F.lit(None).cast("array<long>"))
+    wanted = materialize(wanted.withColumn("hots", F.coalesce("hots", F.expr("cast(array() as array<long>)"))), "anchors")
 
     names = materialize(keyed.select("doc_id", "tkey", F.xxhash64("text", F.lit(1)).alias("tkey2")), "names")
     classes = names.groupBy("tkey", "tkey2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"))
-    copied = classes.filter("rep <> top").drop("top")
+    copied = materialize(classes.filter("rep <> top").drop("top"), "copied")  # read anew, the join's skewed side can be split
     copies = names.join(copied, ["tkey", "tkey2"]).filter("doc_id <> rep").select("doc_id", "tkey").distinct()
     reps = materialize(wanted.join(classes.select("tkey", F.col("rep").alias("doc_id")).distinct(), "tkey"), "wanted")
 
-    found = keyed.join(reps, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hashes").mapInArrow(unit_rows, UNIT_SCHEMA)
+    found = keyed.join(reps, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hashes", "hots").mapInArrow(unit_rows, UNIT_SCHEMA)
     dealt = found.repartition("route").sortWithinPartitions("hash", "doc_id", "lo")
     spans = dealt.mapInArrow(removed_rows, "doc_id long, tkey long, start long, end long")
     spans = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
