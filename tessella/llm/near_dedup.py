@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.common import byte_view, clash_free, materialize, slices
@@ -254,14 +253,20 @@ def proposals(batches: Iterator[pa.RecordBatch], limit: int, nearest: bool, perc
 
 
 def open_blocks(rows: DataFrame, reps: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of buckets with several components, dealt over pairs of blocks of about BLOCK rows."""
-    told = labelled(rows.filter("m > 2").select("node", "key", "n", "m"), parts)
-    buckets = told.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-    wide = told.join(buckets, "key").join(reps, "node")
-    n = F.ceil(F.col("m") / (0.8 * BLOCK)).cast("int")
-    wide = wide.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("node"), n).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = wide.select("key", "node", "component", "n", "sketch", "parity", "own", other.alias("other"))
+    """Rows of buckets with several components, dealt over pairs of blocks of about BLOCK rows.
+
+    Rows of a bucket's largest component meet only blocks of the others, so that a large group with a few strays costs
+    a copy of each row per block of strays."""
+    told = labelled(rows.filter("m > 2").select("node", "key", "n"), parts)
+    sizes = told.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    buckets = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    buckets = materialize(buckets.select("key", F.col("m") - F.col("top.c"), "top.c", "top.component").toDF("key", "few", "many", "largest"), "open")
+    blocks = lambda c: F.ceil(F.col(c) / (0.8 * BLOCK)).cast("int")
+    wide = told.join(buckets, "key").join(reps, "node").withColumn("a", blocks("few")).withColumn("b", blocks("many"))
+    stray, mark = F.col("component") != F.col("largest"), F.xxhash64("node")
+    own = F.when(stray, F.pmod(mark, F.col("a"))).otherwise(F.col("a") + F.pmod(mark, F.col("b"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(stray, F.col("a") + F.col("b") - 1).otherwise(F.col("a") - 1))
+    dealt = wide.select("key", "node", "component", "n", "sketch", "parity", own.alias("own"), F.explode(others).alias("other"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     side = (F.col("own") > F.col("other")).cast("int")
     return dealt.select("key", i.alias("i"), j.alias("j"), side.alias("side"), "node", "component", "n", "sketch", "parity")
@@ -278,23 +283,29 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = docs.mapInArrow(signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
     sig = materialize(sig, "signatures")
     held = sig.filter("n_shingles > 0 and doc_id is not null")
+    again = materialize(sig.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    repeated = not again.isEmpty()
+    if repeated:
+        held = materialize(held.dropDuplicates(["doc_id", "set_key"]), "held")
     copies = held.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep <> top").drop("top")
+    copies = materialize(copies, "copies")  # read anew, the join's skewed side can be split
     placed = sig.select("doc_id", "n_shingles", "set_key").join(copies, "set_key", "left")
-    placed = materialize(placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")), "placed")
+    placed = materialize(placed.select("doc_id", "n_shingles", "set_key", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("node")), "placed")
 
-    others = placed.filter("node <> doc_id").select("doc_id").distinct()
+    others = placed.filter("node <> doc_id").select("doc_id", "set_key").distinct()
     reps = held.select(F.col("doc_id").alias("node"), "sketch", "parity")
-    rows = held.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    bucket = W.partitionBy("key")
-    rows = rows.select("key", "node", "n", F.min(F.struct("node", "n")).over(bucket).alias("lead"), F.count(F.lit(1)).over(bucket).alias("m"))
-    rows = materialize(rows.filter("m > 1"), "buckets")
+    rows = held.join(others, ["doc_id", "set_key"], "left_anti").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    leads = rows.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    rows = materialize(rows.join(materialize(leads, "leads"), "key"), "buckets")
     alike = F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent
     pairs = rows.filter((F.col("lead.node") != F.col("node")) & alike)
     pairs = pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("lead.n")).alias("sizes")).distinct()
     both = pairs.join(reps.toDF("b", "sb", "pb"), "b").join(reps.toDF("a", "sa", "pa"), "a")
     may = (differing("sa", "sb") <= most_different(percent)) & (differing("pa", "pb") * (100 + percent) <= F.col("sizes") * (100 - percent))
-    checked = materialize(both.filter(may).select("a", "b").distinct(), "pairs")
+    checked = materialize(both.filter(may).select("a", "b"), "pairs")
     edges = confirm(docs, checked, percent)
+    if repeated:  # the texts of one identifier belong together
+        edges = edges.unionByName(placed.join(again, "doc_id", "left_semi").filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
     parts = components(edges)
 
     limit = most_different(percent)
@@ -309,7 +320,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         if not more.isEmpty():
             parts = components(edges)
 
-    out = labelled(placed, parts)
+    out = labelled(placed.drop("set_key"), parts)
     kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
