@@ -26,5 +26,35 @@ QUERIES = {
     "op10_fertility": op10_fertility,
 }
 
-#: None of these operators has a SQL form that runs over whole tables in reasonable time; tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: Prefix filtering makes the similarity join exact and quick; the others say what the contract says. The remaining queries
+#: have no SQL form: they train models, search optima or read vocabularies. tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_transactions": """
+SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+ CASE WHEN octet_length(encode(html)) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN octet_length(encode(html)) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY html) THEN max(page_id) OVER (PARTITION BY html) END AS refers_to FROM pages""",
+    "op5_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w),
+classes AS (SELECT list_sort(s) AS k, min(doc_id) AS rep, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY list_sort(s)),
+x AS (SELECT rep, n, unnest(k) AS g FROM classes),
+f AS (SELECT g, count(*) AS df FROM x GROUP BY g),
+p AS (SELECT rep, n, x.g, row_number() OVER (PARTITION BY rep ORDER BY df, x.g) AS r FROM x JOIN f ON x.g = f.g),
+cand AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM p a JOIN p b ON a.g = b.g AND a.rep < b.rep WHERE a.r <= a.n - ceil(0.8 * a.n) + 1 AND b.r <= b.n - ceil(0.8 * b.n) + 1 AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM cand JOIN classes ca ON ca.rep = a JOIN classes cb ON cb.rep = b WHERE 180 * len(list_intersect(ca.k, cb.k)) >= 80 * (ca.n + cb.n)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+comp AS (SELECT a AS rep, min(b) AS c FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, s.doc_id) AS component_id, s.doc_id = coalesce(c, s.doc_id) AS kept
+FROM s LEFT JOIN classes k ON len(s.s) > 0 AND list_sort(s.s) = k.k LEFT JOIN comp ON comp.rep = k.rep""",
+    "op8_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, substring(x, 2 * i - 1, 200) AS g FROM (SELECT doc_id, x, unnest(range(1, n - 98)) AS i FROM h WHERE n >= 100) t),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) t WHERE r > 1),
+bytes AS (SELECT doc_id, j, substring(x, 2 * j - 1, 2) AS b FROM (SELECT doc_id, x, unnest(range(1, n + 1)) AS j FROM h) t),
+marked AS (SELECT b.doc_id, j, b, coalesce(max(i) OVER (PARTITION BY b.doc_id ORDER BY j) >= j - 99, false) AS gone FROM bytes b LEFT JOIN again a ON a.doc_id = b.doc_id AND a.i = b.j),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS opens FROM marked),
+found AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM edges GROUP BY doc_id)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM h LEFT JOIN found f ON f.doc_id = h.doc_id""",
+}

@@ -228,5 +228,5 @@ def op1_transactions(spark, sf_dir: str) -> DataFrame:
     refers = F.element_at(fields, "refers-to-page-id").cast("long")
     return captures.select(
         page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), refers.alias("refers_to"), F.col("response.target_uri").alias("target_uri"),
+        F.col("response.type").alias("record_type"), refers.alias("refers_to"),
     )
