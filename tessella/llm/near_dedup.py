@@ -176,16 +176,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges(a, b) that is not itself the smallest, by
     alternating star contractions.
 
-    The smallest neighbour of each node is a partially aggregated minimum; the joins that follow can be split when one
-    node has very many edges."""
+    The smallest neighbour of each node is a partially aggregated minimum; it is written, so that the join that follows
+    can be split when one node has very many edges."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     before = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialize(small.filter("u <> v").distinct(), "stars")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
