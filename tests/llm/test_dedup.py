@@ -60,6 +60,13 @@ def test_chained_near_copies(spark):
     check_groups(nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_texts_of_one_identifier_belong_together(spark):
+    a, b, c = ("a b c d e f g h", "p q r s t u v w", "k l m n o k l m")
+    rows = [(1, a), (5, a), (5, b), (9, b + " b"), (9, b), (9, b), (7, c)]
+    got = nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1), (9, 1), (9, 1)]
+
+
 def test_near_groups_of_nothing(nothing):
     assert nd.near_groups(nothing).count() == 0
 
@@ -128,6 +135,14 @@ def test_an_anchor_in_several_shards(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def test_hot_anchors_travel_by_window(spark, docs, corpus, monkeypatch):
+    monkeypatch.setattr(sd, "MOST_UNITS", 2)
+    want = brute_repeats({(r[0], r[1]) for r in corpus if r[0] is not None})
+    for r in sd.drop_repeats(docs).collect():
+        if r["doc_id"] is not None:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
 def test_long_texts_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(4)
     text = "".join(chr(97 + x) for x in rng.integers(0, 26, 3000))
