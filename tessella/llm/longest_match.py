@@ -28,7 +28,7 @@ from tessella.llm.common import byte_view, clash_free, slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SCHEMA = "n_words long, n_tokens long, n_unknown long"
 #: Words of more bytes are matched one by one, shorter ones side by side; most words a worker remembers.
-LONG_WORD, CACHE = 64, 400_000
+LONG_WORD, CACHE = 64, 250_000
 
 
 @dataclass

@@ -37,7 +37,7 @@ BANDS, ROWS, BITS, SET_BITS = 48, 6, 1024, 2048
 SLACK = 5.0
 #: Rows compared side by side; groups over which the partners of one node are dealt; most requests that are broadcast.
 BLOCK, SALTS, BROADCAST_ROWS = 512, 32, 100_000
-CHUNK, CACHE = 1 << 16, 400_000
+CHUNK, CACHE = 1 << 16, 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

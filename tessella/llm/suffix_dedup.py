@@ -38,13 +38,15 @@ from tessella.llm.near_dedup import mixed
 
 #: Bytes of a removable string; bytes of a gram; bytes of units that one suffix array holds; texts of an anchor that one
 #: task takes; most anchors whose list is broadcast.
-LENGTH, GRAM, SHARD_BYTES, MOST_UNITS, BROADCAST_ROWS = 100, 32, 2 << 20, 20_000, 100_000
+LENGTH, GRAM, SHARD_BYTES, MOST_UNITS, BROADCAST_ROWS = 100, 32, 1 << 20, 20_000, 100_000
 #: Gram starts of one window.
 WINDOW = LENGTH - GRAM + 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Positions share a word with truncated hashes, so a text is handled in pieces of at most this many bytes.
-PIECE = 1 << 23
+PIECE = 1 << 22
+#: Bytes of texts handled side by side; their arrays take some 100 times as many.
+SLICE = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -103,7 +105,7 @@ def units(data: np.ndarray, offsets: np.ndarray, powers: Powers):
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
     """Slices with their bytes, offsets, row of each part and start of each part in its text, and whether the text is
     parted. Texts longer than PIECE are, with LENGTH - 1 bytes of overlap, so that each window is in exactly one part."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         data, offsets = byte_view(batch.column("text"))
         if len(data) <= PIECE:
             yield batch, data, offsets, np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), False
@@ -421,7 +423,7 @@ def removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def kept_rows(batches: Iterator[pa.RecordBatch], carry: tuple[str, ...] = (), with_text: bool = False) -> Iterator[pa.RecordBatch]:
     """doc_id, carried columns, text, spans(start, end), copy -> the result, with the text of the kept bytes on demand.
     Bytes of a character that is cut into are left out of that text."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         data, offsets = byte_view(batch.column("text"))
         out = []
         for i, (spans, copy) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("copy").to_pylist())):
