@@ -471,7 +471,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = names.join(copied, ["tkey", "tkey2"]).filter("doc_id <> rep").select("doc_id", "tkey").distinct()
     reps = materialize(wanted.join(classes.select("tkey", F.col("rep").alias("doc_id")).distinct(), "tkey"), "wanted")
 
-    found = keyed.join(reps, ["doc_id", "tkey"]).select("doc_id", "tkey", "text", "hashes", "hots").mapInArrow(unit_rows, UNIT_SCHEMA)
+    # Rows that repeat identifier and text send their units once, or each would remove the other's.
+    again = materialize(names.groupBy("doc_id", "tkey").count().filter("count > 1").select("doc_id", "tkey"), "again")
+    if again.isEmpty():
+        sent = keyed.join(reps, ["doc_id", "tkey"])
+    else:
+        once = keyed.join(again, ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
+        sent = keyed.join(reps.join(again, ["doc_id", "tkey"], "left_anti"), ["doc_id", "tkey"]).unionByName(once.join(reps, ["doc_id", "tkey"]))
+    found = sent.select("doc_id", "tkey", "text", "hashes", "hots").mapInArrow(unit_rows, UNIT_SCHEMA)
     dealt = found.repartition("route").sortWithinPartitions("hash", "doc_id", "lo")
     spans = dealt.mapInArrow(removed_rows, "doc_id long, tkey long, start long, end long")
     spans = materialize(spans.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")

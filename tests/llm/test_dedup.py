@@ -120,6 +120,21 @@ def test_repeats_equal_brute_force(docs, corpus):
             assert len(r["kept_text"].encode()) <= r["n_bytes"] - r["n_removed"]
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_are_one_document(spark, parts):
+    """Rows that repeat identifier and text, alone, with copies under other identifiers and beside another text."""
+    rng = np.random.default_rng(6)
+    a, b, c, d = ("".join(chr(97 + x) for x in rng.integers(0, 26, 400)) for _ in range(4))
+    alone = [(1, a), (2, b), (3, b), (4, c + a[:150]), (5, d), (6, d[:200] + c)]
+    want = brute_repeats(alone)
+    rows = [r for r in alone for _ in range(1 if r[0] == 6 else 3)]
+    df = spark.createDataFrame(rows[::2] + rows[1::2], "doc_id long, text string").repartition(parts)
+    got = sd.drop_repeats(df).collect()
+    assert len(got) == len(rows) and want[1][1] == 0
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
+
+
 def test_repeats_of_nothing(nothing):
     assert sd.drop_repeats(nothing).count() == 0
 
