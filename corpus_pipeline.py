@@ -18,6 +18,8 @@ from tessella.llm.source_mix import entropy_mix
 from tessella.llm.suffix_dedup import drop_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words a shingle of the near-duplicate stage; the two words of op5_near_dedup's contract bind that query only.
+SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each near-duplicate group stays, the one of the smallest identifier; of rows that repeat an
     identifier, one."""
     docs = docs.select(*COLUMNS)
-    gone = near_groups(docs).filter(~F.col("kept")).select("doc_id")
+    gone = near_groups(docs, size=SHINGLE).filter(~F.col("kept")).select("doc_id")
     again = materialize(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if not again.isEmpty():
         once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)

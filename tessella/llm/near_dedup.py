@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import byte_view, clash_free, materialize, slices
 
-#: Words a shingle; similarity threshold in percent.
+#: Words a shingle, unless near_groups is told otherwise; similarity threshold in percent.
 WORDS, PERCENT = 2, 80
 #: Bands, rows a band (a pair at 0.8 is missed with probability 5e-7); bits of an odd sketch and of a set's parity bitmap,
 #: powers of two from 64.
@@ -111,14 +111,14 @@ def most_different(percent: int = PERCENT, samples: int = BANDS * ROWS, bits: in
     return int(np.ceil(bits * (1 - np.exp(-2 * differing / bits)) / 2 + spread))
 
 
-def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def signatures(batches: Iterator[pa.RecordBatch], size: int = WORDS) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, n_shingles, set_key, bands, sketch, parity (the last three null for an empty set)."""
     words, n = WordHash(), BANDS * ROWS
     salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
     for piece in slices(batches, "text"):
         data, offsets = byte_view(piece.column("text"))
         whole, ends = data.tobytes(), offsets.tolist()
-        sets = [shingles(whole[a:b], words) for a, b in zip(ends, ends[1:])]
+        sets = [shingles(whole[a:b], words, size) for a, b in zip(ends, ends[1:])]
         sizes = np.array([len(s) for s in sets])
         full = np.flatnonzero(sizes)
         bands, sketch, parity = ([None] * len(sets) for _ in range(3))
@@ -138,7 +138,7 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
     One join brings texts to requests; partners of a node are dealt over SALTS groups, each of which streams through
@@ -156,7 +156,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFr
             data, offsets = byte_view(piece.column("text"))
             whole, ends, out = data.tobytes(), offsets.tolist(), []
             for i, (a, salt, b) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("a", "salt", "b")))):
-                s = shingles(whole[ends[i] : ends[i + 1]], words)
+                s = shingles(whole[ends[i] : ends[i + 1]], words, size)
                 if (a, salt) != of:
                     own, of = [], (a, salt)
                 if b is None:
@@ -277,10 +277,10 @@ def differing(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for docs(doc_id, text)."""
+def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for docs(doc_id, text); size: words a shingle."""
     docs = clash_free(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sig = docs.mapInArrow(signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
+    sig = docs.mapInArrow(lambda batches: signatures(batches, size), "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
     sig = materialize(sig, "signatures")
     held = sig.filter("n_shingles > 0 and doc_id is not null")
     again = materialize(sig.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
@@ -303,7 +303,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     both = pairs.join(reps.toDF("b", "sb", "pb"), "b").join(reps.toDF("a", "sa", "pa"), "a")
     may = (differing("sa", "sb") <= most_different(percent)) & (differing("pa", "pb") * (100 + percent) <= F.col("sizes") * (100 - percent))
     checked = materialize(both.filter(may).select("a", "b"), "pairs")
-    edges = confirm(docs, checked, percent)
+    edges = confirm(docs, checked, percent, size)
     if repeated:  # the texts of one identifier belong together
         edges = edges.unionByName(placed.join(again, "doc_id", "left_semi").filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
     parts = components(edges)
@@ -315,7 +315,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         fresh = materialize(found.join(checked, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             continue
-        more = confirm(docs, fresh, percent)
+        more = confirm(docs, fresh, percent, size)
         checked, edges = checked.unionByName(fresh), edges.unionByName(more)
         if not more.isEmpty():
             parts = components(edges)

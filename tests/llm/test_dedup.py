@@ -60,6 +60,16 @@ def test_chained_near_copies(spark):
     check_groups(nd.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_words_a_shingle(spark):
+    """Three changed words of sixty: alike by pairs of words, not by five; one changed word: alike by both."""
+    words = [f"w{i}" for i in range(60)]
+    far, near = (" ".join("v" if i in at else w for i, w in enumerate(words)) for at in ((10, 30, 50), (30,)))
+    df = spark.createDataFrame([(1, " ".join(words)), (2, far), (3, "p q r"), (4, near.upper())], "doc_id long, text string")
+    two, five = ({r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nd.near_groups(df, size=k).collect()} for k in (2, 5))
+    assert two == {1: (59, 1), 2: (59, 1), 3: (2, 3), 4: (59, 1)}
+    assert five == {1: (56, 1), 2: (56, 2), 3: (1, 3), 4: (56, 1)}
+
+
 def test_texts_of_one_identifier_belong_together(spark):
     a, b, c = ("a b c d e f g h", "p q r s t u v w", "k l m n o k l m")
     rows = [(1, a), (5, a), (5, b), (9, b + " b"), (9, b), (9, b), (7, c)]

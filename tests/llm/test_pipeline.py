@@ -34,6 +34,13 @@ def test_one_document_of_each_group_stays(stages):
     assert sorted(r[0] for r in rows_of(stages[2]) if r[0] is not None) == sorted({c for c in groups.values()})
 
 
+def test_near_duplicates_take_five_words(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join("v" if i in at else w for i, w in enumerate(words)) for at in ((), (10, 30, 50), (30,))]
+    df = spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r[0] for r in rows_of(pipeline.near_duplicates(spark, df, ""))) == [0, 1]
+
+
 def test_repeats_are_cut(stages):
     before, after = rows_of(stages[2]), {r[0]: r for r in rows_of(stages[3]) if r[0] is not None}
     want = brute_repeats([(r[0], r[1]) for r in before if r[0] is not None])
