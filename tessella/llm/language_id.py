@@ -2,7 +2,7 @@
 
 A multinomial logistic model over hashed byte n-grams picks the language family; inside a family with several learned
 languages, one-versus-one linear support vector machines vote. All models are fitted here, on a bounded sample:
-at most MOST_LANGUAGES languages by frequency and about SAMPLE documents of each, drawn by a hash of the identifier.
+every language, and about SAMPLE documents of each, drawn by a hash of the identifier.
 
 Defined results: null text and text without a letter give `und` with score 0; a language without a known family is a
 family of its own; null identifiers are never learned from and not held out; if nothing can be learned all rows are
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import clash_free, slices
 
-#: Hashed features; documents sampled per language; most languages learned.
-BUCKETS, SAMPLE, MOST_LANGUAGES = 4096, 400, 64
+#: Hashed features; documents sampled per language.
+BUCKETS, SAMPLE = 4096, 400
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl da sv no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk sl hr sr bs bg mk",
@@ -133,16 +133,13 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % divisor
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, most: int = MOST_LANGUAGES) -> dict | None:
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Fit on doc_id, text, lang. Two narrow passes: languages are counted without the texts, then sampled texts become
-    features on the executors; the driver gets at most about sample * most feature vectors."""
+    features on the executors; the driver gets about sample feature vectors a language at most."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-    if not counts:
-        return None
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, sample / r["count"])))), F.col("lang"))
-    chosen = rows.filter(F.col("lang").isin([r["lang"] for r in counts]) & (mark < share))
+    chosen = rows.join(F.broadcast(counts), "lang").filter(mark < F.lit(float(sample)) / F.col("_n"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):

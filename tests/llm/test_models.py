@@ -15,6 +15,17 @@ from tessella.llm import toxicity as tx
 SPACE = " \t\n\v\f\r"
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    langs = [f"x{i}" for i in range(70)]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for c in langs}
+    rows = [(10 * i + k, " ".join(rng.choices(words[c], k=40)), c) for i, c in enumerate(langs) for k in range(3 if i < 64 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(df)
+    assert {c for members, _ in model["families"] for c in members} == set(langs)
+    assert all(r["lang_pred"] == r["lang"] for r in li.identify(df, model).collect())
+
+
 def words_of(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
