@@ -3,7 +3,7 @@
 Each page becomes a transaction of three records: request, response or revisit, and metadata, tied by WARC-Concurrent-To.
 Every record is a gzip member of its own. Archives are written through Spark's text sink, whose line separator is set to
 an empty gzip member, so they land wherever Spark can write; they are read through the binaryFile source. Assembly reads
-concurrent-to links as undirected and follows them for up to two hops to the record that holds the response.
+concurrent-to links as undirected and follows them, over any number of hops, to the nearest record that holds the response.
 
 Payload rule: of payloads that are equal and have at least REVISIT_BYTES bytes, the one with the largest page_id is the
 response and the others revisit it.
@@ -204,10 +204,19 @@ def assemble(found: DataFrame) -> DataFrame:
     roots = F.col("type").isin("response", "revisit", "resource")
     links = found.select(F.col("record_id").alias("u"), F.explode("concurrent_to").alias("v"))
     links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    near = links.join(found.filter(roots).select(F.col("record_id").alias("v")), "v").groupBy("u").agg(F.min("v").alias("root"))
-    far = links.join(near.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("far"))
-    placed = found.join(near, F.col("record_id") == near["u"], "left").drop("u").join(far, F.col("record_id") == far["u"], "left").drop("u")
-    own = F.when(roots, F.col("record_id")).otherwise(F.coalesce("root", "far", "record_id"))
+    tops = found.filter(roots).select(F.col("record_id").alias("v"))
+    near = materialize(links.join(tops, "v").groupBy("u").agg(F.min("v").alias("root")), "near")
+    reached, newest = near, near
+    left = materialize(links.join(tops.unionByName(near.select(F.col("u").alias("v"))).toDF("u"), "u", "left_anti"), "left")
+    while not left.isEmpty():  # one hop a round, over the links of what is not reached yet
+        newest = left.join(newest.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("root"))
+        newest = materialize(newest, "hop")
+        if newest.isEmpty():
+            break
+        reached = reached.unionByName(newest)
+        left = materialize(left.join(newest, "u", "left_anti"), "left")
+    placed = found.join(reached, F.col("record_id") == reached["u"], "left").drop("u")
+    own = F.when(roots, F.col("record_id")).otherwise(F.coalesce("root", "record_id"))
     whole = F.struct(*(c for c in found.columns))
     pick = lambda cond: F.max_by(F.when(cond, whole), F.when(cond, F.col("record_id")))
     grouped = placed.withColumn("capture_id", own).groupBy("capture_id")

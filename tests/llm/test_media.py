@@ -183,6 +183,19 @@ def test_links_in_either_direction_and_over_two_hops(spark, tmp_path):
     assert got["<q2>"]["response"] is None and got["<r3>"]["request"] is None
 
 
+def test_links_over_many_hops(spark, tmp_path):
+    """A chain of five hops, partly over an identifier without a record, the nearer of two responses, and a chain without any."""
+    chain = [("request", "<q1>", "<r1>"), ("metadata", "<m2>", "<q1>"), ("metadata", "<m3>", "<m2>"), ("metadata", "<m4>", "<gone>"), ("metadata", "<m6>", "<m4>")]
+    data = record("response", "<r1>") + record("response", "<r0>", ["<n1>"]) + b"".join(record(k, i, [t]) for k, i, t in chain)
+    data += record("metadata", "<n1>", ["<n2>"]) + record("metadata", "<n2>", ["<n3>"]) + record("metadata", "<n3>", ["<m3>"])
+    data += record("metadata", "<m3b>", ["<m3>", "<gone>"]) + record("request", "<a>", ["<b>"]) + record("metadata", "<b>")
+    (tmp_path / "plain.warc").write_bytes(data)
+    got = {r["capture_id"]: r for r in warc.assemble(warc.read_records(spark, f"file://{tmp_path}/plain.warc")).collect()}
+    assert set(got) == {"<r0>", "<r1>", "<a>", "<b>"}
+    assert {m["record_id"] for m in got["<r1>"]["metadata"]} == {"<m2>", "<m3>", "<m3b>", "<m4>", "<m6>"}
+    assert {m["record_id"] for m in got["<r0>"]["metadata"]} == {"<n1>", "<n2>", "<n3>"} and got["<r1>"]["request"]["record_id"] == "<q1>"
+
+
 def test_broken_archives():
     with pytest.raises(ValueError):
         list(warc.records(record("response", "<a>")[:-20]))
