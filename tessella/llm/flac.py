@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessella.llm.common import byte_view, clash_free, slices
+from tessella.llm.common import byte_view, clash_free, materialize, slices
 
 PAD, BLOCK, RATE = 192, 576, 8000
 #: Order and coefficient bits of the encoder's own predictors.
@@ -552,4 +552,4 @@ def pcm_blocks(stored: DataFrame, key: str = "doc_id") -> DataFrame:
 def op2_flac(spark, sf_dir: str) -> DataFrame:
     """Features of every document's text stored as FLAC and read back."""
     docs = clash_free(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    return features(store(docs).drop("text")).drop("media")
+    return features(materialize(store(docs).drop("text"), "media")).drop("media")

@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from tessella.llm import flac, warc
 
 
+def test_features_come_from_stored_media(spark, folder, corpus, monkeypatch):
+    stored = []
+    monkeypatch.setattr(flac, "features", lambda df, own=flac.features: stored.append(df) or own(df))
+    assert flac.op2_flac(spark, folder).count() == len(corpus)
+    assert "media" in stored[0].columns and all("/media-" in f for f in stored[0].inputFiles())
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=1500), min_size=1, max_size=5))
 def test_flac_round_trip(raw):
