@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Temporary folders of applications without spark.checkpoint.dir.
 _OWN: dict[str, str] = {}
+#: Frames that materialize returned, by identity, and their paths.
+_WRITTEN: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir; in local mode a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.get(app) or _OWN.setdefault(app, f"file://{tempfile.mkdtemp(prefix='tessella-')}")
     return found.rstrip("/")
@@ -38,17 +43,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and lets the write's
-    shuffle files go at its end."""
+    shuffle files go at its end. codec: Parquet compression, the session's if not given."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, key=id(out): _WRITTEN.pop(key, None)), path)
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what materialize wrote for these frames; nothing that is still to run may read them."""
+    for df in frames:
+        known = _WRITTEN.pop(id(df), None)
+        if known:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(known[1])
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def word_count(text: Column) -> Column:

@@ -15,23 +15,27 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import byte_view, clash_free, materialize, slices
+from tessella.llm.common import byte_view, clash_free, materialize, release, slices
 
-PAD, BLOCK, RATE = 192, 576, 8000
+PAD, BLOCK, RATE = 192, 1152, 8000
 #: Order and coefficient bits of the encoder's own predictors.
 LPC_ORDER, LPC_BITS = 4, 10
 #: Fixed values of the format: block sizes and sample sizes by code, polynomial predictors by order.
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
 SAMPLE_BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
-SLICE = 1 << 20
+#: Bytes of texts or media handled side by side; samples that features read by their offset; waves of described().
+SLICE, PROBE, WAVES = 2 << 20, 16, 2
 
 
 def crc_table(bits: int, poly: int) -> np.ndarray:
@@ -469,11 +473,42 @@ def pcm(meta: dict, x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x.T).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def payload_of(meta: dict, blocks: list[tuple[int, np.ndarray]]) -> bytes:
-    """Unsigned 8-bit payload of a mono stream after its MD5 is verified."""
-    raw = b"".join(pcm(meta, x) for _, x in blocks)
-    if any(meta["md5"]) and hashlib.md5(raw).digest() != meta["md5"]:
+def blocks_of(meta: dict, frames: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, bytes]]:
+    """PCM blocks of one stream: sample offset, samples, PCM bytes, in order of the offsets."""
+    return [(at, x.shape[1], pcm(meta, x)) for at, x in sorted(frames, key=lambda f: f[0])]
+
+
+def read_samples(meta: dict, blocks: list[tuple[int, int, bytes]], start: int, stop: int) -> bytes:
+    """PCM bytes of samples start to stop (exclusive), found by seeking to the block that holds the first."""
+    width, out = (meta["bits"] + 7) // 8 * meta["channels"], []
+    for at, n, raw in blocks[max(bisect_right(blocks, start, key=lambda b: b[0]) - 1, 0) :]:
+        if at >= stop:
+            break
+        out.append(raw[max(start - at, 0) * width : max(min(stop - at, n), 0) * width])
+    return b"".join(out)
+
+
+def verify(meta: dict, blocks: list[tuple[int, int, bytes]]) -> None:
+    """The blocks follow one another without a gap and their MD5 is the stream's."""
+    at, digest = 0, hashlib.md5()
+    for offset, n, raw in blocks:
+        if offset != at:
+            raise ValueError("a block is missing")
+        at += n
+        digest.update(raw)
+    if any(meta["md5"]) and digest.digest() != meta["md5"]:
         raise ValueError("stream digest differs")
+
+
+def payload_of(meta: dict, frames: list[tuple[int, np.ndarray]]) -> bytes:
+    """Unsigned 8-bit payload of a mono stream after its MD5 is verified."""
+    blocks = blocks_of(meta, frames)
+    verify(meta, blocks)
+    return unsigned(b"".join(raw for _, _, raw in blocks))
+
+
+def unsigned(raw: bytes) -> bytes:
+    """Unsigned form of signed 8-bit PCM."""
     return (np.frombuffer(raw, np.uint8) ^ 0x80).tobytes()
 
 
@@ -499,17 +534,26 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, block_offsets array<long>"
 
 
-def describe(media: bytes, meta: dict, blocks: list, types: np.ndarray) -> tuple:
-    """FEATURES of one stored stream, from the bytes read back."""
-    payload = payload_of(meta, blocks)
-    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
+def describe(media: bytes, meta: dict, frames: list, types: np.ndarray) -> tuple:
+    """FEATURES of one stored stream, from the PCM blocks it decodes to; the tail and the middle are read by offset."""
+    blocks = blocks_of(meta, frames)
+    verify(meta, blocks)
+    digest, size, energy, peak, crossings, before = hashlib.sha256(), 0, 0, 0, 0, None
+    for _, n, raw in blocks:
+        x = np.frombuffer(raw, np.int8).astype(np.int64)
+        digest.update(unsigned(raw))
+        size, energy, peak = size + n, energy + int((x * x).sum()), max(peak, int(np.abs(x).max(initial=0)))
+        below = x < 0
+        crossings += int((below[1:] != below[:-1]).sum()) + (before is not None and bool(below[0]) != before)
+        before = bool(below[-1])
+    tail = zlib.crc32(unsigned(read_samples(meta, blocks, size - PROBE, size)))
+    middle = zlib.crc32(unsigned(read_samples(meta, blocks, size // 2, size // 2 + PROBE)))
     lpc, fixed = int((types >= 32).sum()), int(((types >= 8) & (types < 32)).sum())
-    feature = f"frames={len(blocks)};lpc={lpc};fixed={fixed};other={len(blocks) - lpc - fixed};energy={int((x * x).sum())};peak={int(np.abs(x).max(initial=0))};crossings={crossings}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    feature = f"blocks={len(blocks)};lpc={lpc};fixed={fixed};other={len(blocks) - lpc - fixed};energy={energy};peak={peak};crossings={crossings};middle={middle}"
+    return size, digest.hexdigest(), tail, len(media), hashlib.sha256(media).hexdigest(), feature, len(blocks), [at for at, _, _ in blocks]
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -524,7 +568,7 @@ def features(stored: DataFrame) -> DataFrame:
             told = [m for m in media if m is not None]
             found = iter([describe(m, *x) for m, x in zip(told, decode_streams(told))])
             rows = [next(found) if m is not None else (None,) * len(added.names) for m in media]
-            arrays = [pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            arrays = [pa.array(list(c), f) for c, f in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(piece.columns + arrays, names=piece.schema.names + added.names)
 
     return stored.mapInArrow(run, schema)
@@ -539,8 +583,8 @@ def pcm_blocks(stored: DataFrame, key: str = "doc_id") -> DataFrame:
         for piece in slices(batches, "media", SLICE):
             pairs = [(k, m) for k, m in zip(piece.column(key).to_pylist(), piece.column("media").to_pylist()) if m is not None]
             rows = []
-            for (k, _), (meta, blocks, _) in zip(pairs, decode_streams([m for _, m in pairs])):
-                rows += [(k, i, at, x.shape[1], meta["channels"], meta["rate"], pcm(meta, x)) for i, (at, x) in enumerate(blocks)]
+            for (k, _), (meta, frames, _) in zip(pairs, decode_streams([m for _, m in pairs])):
+                rows += [(k, i, at, n, meta["channels"], meta["rate"], raw) for i, (at, n, raw) in enumerate(blocks_of(meta, frames))]
             if rows:
                 types = (piece.schema.field(key).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
                 names = [key, "block", "sample_offset", "n_samples", "channels", "rate", "pcm"]
@@ -549,7 +593,19 @@ def pcm_blocks(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     return stored.select(key, "media").mapInArrow(run, f"{key} {kind}, block int, sample_offset long, n_samples int, channels int, rate int, pcm binary")
 
 
+def described(docs: DataFrame, waves: int = WAVES) -> DataFrame:
+    """FEATURES of docs(doc_id, text) from media stored in the shared folder and read back.
+
+    Documents go in waves by a hash of their identifier; a wave's media leave the folder when its features are written,
+    so scratch space is a wave's media and not the corpus'. Each wave reads the texts anew."""
+    wave, done = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(waves)), []
+    for w in range(waves):
+        media = materialize(store(docs.filter(wave == w)).drop("text"), "media", "zstd")
+        done.append(materialize(features(media).drop("media"), "features", "zstd"))
+        release(media)
+    return reduce(DataFrame.unionByName, done)
+
+
 def op2_flac(spark, sf_dir: str) -> DataFrame:
-    """Features of every document's text stored as FLAC and read back."""
-    docs = clash_free(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    return features(materialize(store(docs).drop("text"), "media")).drop("media")
+    """Features of every document's text stored as FLAC, read back and cut into PCM blocks."""
+    return described(clash_free(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))

@@ -14,9 +14,9 @@ from tessella.llm import flac, warc
 
 def test_features_come_from_stored_media(spark, folder, corpus, monkeypatch):
     stored = []
-    monkeypatch.setattr(flac, "features", lambda df, own=flac.features: stored.append(df) or own(df))
+    monkeypatch.setattr(flac, "features", lambda df, own=flac.features: stored.append((df.columns, df.inputFiles())) or own(df))
     assert flac.op2_flac(spark, folder).count() == len(corpus)
-    assert "media" in stored[0].columns and all("/media-" in f for f in stored[0].inputFiles())
+    assert len(stored) == flac.WAVES and all("media" in c and all("/media-" in f for f in files) for c, files in stored)
 
 
 @settings(max_examples=40, deadline=None)
@@ -210,3 +210,32 @@ def test_broken_archives():
         list(warc.records(b"HTTP/1.1 200\r\n\r\n"))
     with pytest.raises(ValueError):
         list(warc.members(gzip.compress(b"abc")[:-4]))
+
+
+def test_features_by_brute_force(spark, folder, corpus):
+    """Every derived column of the query, recomputed from the texts without the codec."""
+    got = [r.asDict() for r in flac.op2_flac(spark, folder).collect()]
+    want = []
+    for doc, text, *_ in corpus:
+        raw = (text or "").encode()
+        whole = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        x = [b - 128 for b in whole]
+        middle = whole[len(whole) // 2 :][:16]
+        facts = {"energy": sum(v * v for v in x), "peak": max(map(abs, x)), "crossings": sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])), "middle": zlib.crc32(middle), "blocks": -(-len(whole) // flac.BLOCK)}
+        want.append((doc, len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]), tuple(range(0, len(whole), flac.BLOCK)), facts))
+    assert len(got) == len(want)
+    order = lambda r: (r[0] is None, r[0], r[1], r[3])
+    told = [(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], tuple(r["block_offsets"]), {k: int(v) for k, v in (p.split("=") for p in r["feature"].split(";"))}) for r in got]
+    for a, b in zip(sorted(told, key=order), sorted(want, key=order), strict=True):
+        assert a[:6] == b[:6]
+        assert {k: a[6][k] for k in b[6]} == b[6] and a[6]["lpc"] + a[6]["fixed"] + a[6]["other"] == a[6]["blocks"]
+
+
+def test_samples_by_offset():
+    payload = flac.padded(np.random.default_rng(3).integers(90, 120, 9000, np.uint8).tobytes())
+    meta, frames, _ = flac.decode_streams(flac.encode_streams([payload]))[0]
+    blocks = flac.blocks_of(meta, frames)
+    for start, stop in ((0, 5), (2300, 2310), (2304, 4608), (100, 8000), (len(payload) - 16, len(payload)), (5, 5), (len(payload), len(payload) + 9)):
+        assert flac.unsigned(flac.read_samples(meta, blocks, start, stop)) == payload[start:stop]
+    with pytest.raises(ValueError):
+        flac.verify(meta, blocks[:1] + blocks[2:])
