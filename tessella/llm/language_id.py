@@ -2,7 +2,8 @@
 
 A multinomial logistic model over hashed byte n-grams picks the language family; inside a family with several learned
 languages, one-versus-one linear support vector machines vote. All models are fitted here, on a bounded sample:
-every language, and about SAMPLE documents of each, drawn by a hash of the identifier.
+every language, and about SAMPLE documents of each, drawn by a hash of the identifier. The family model is fitted in the
+driver on about FAMILY_ROWS of these; each pair of languages is a group of its own, fitted on the executors.
 
 Defined results: null text and text without a letter give `und` with score 0; a language without a known family is a
 family of its own; null identifiers are never learned from and not held out; if nothing can be learned all rows are
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import clash_free, slices
+from tessella.llm.common import clash_free, materialize, release, slices
 
-#: Hashed features; documents sampled per language.
-BUCKETS, SAMPLE = 4096, 400
+#: Hashed features; documents sampled per language; most of them, evenly over the families, for the family model.
+BUCKETS, SAMPLE, FAMILY_ROWS = 4096, 400, 16_000
 #: Families of languages by ISO 639-1 code.
 FAMILIES = {
     "germanic": "en de nl da sv no nb nn is af fy lb yi", "romance": "fr es it pt ro ca gl oc", "slavic": "ru uk be pl cs sk sl hr sr bs bg mk",
@@ -31,7 +32,7 @@ FAMILIES = {
     "iranian": "fa ku ps tg", "indic": "hi bn ur mr gu pa ne si", "dravidian": "ta te kn ml", "sinitic": "zh", "japonic": "ja", "koreanic": "ko", "austronesian": "id ms tl jv",
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN = re.compile("[A-Za-z]")
 #: Bytes as features see them: letters and non-ASCII bytes stay, all else is a space.
 FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 CHUNK = 1 << 20
@@ -56,15 +57,21 @@ def grams(text: str) -> np.ndarray:
     return (out / max(np.linalg.norm(out), 1e-12)).astype(np.float32)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character of the text is a letter (Unicode category L)."""
+    return bool(text) and (PLAIN.search(text) is not None or any(c.isalpha() for c in set(text)))
+
+
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, rate: float = 8.0, decay: float = 1e-5) -> np.ndarray:
     """Weights (features + 1, classes) by full-batch gradient steps with momentum; classes weigh alike."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, speed = np.zeros((x.shape[1], classes)), 0.0
-    weight = (1.0 / np.bincount(y, minlength=classes).clip(1))[y] / classes
+    w, speed = np.zeros((x.shape[1], classes), np.float32), np.float32(0)
+    weight = ((1.0 / np.bincount(y, minlength=classes).clip(1))[y] / classes).astype(np.float32)
+    rate, decay = np.float32(rate), np.float32(decay)
     for _ in range(rounds):
         p = softmax(x @ w)
         p[np.arange(len(y)), y] -= 1
-        speed = 0.9 * speed - rate * (x.T @ (p * weight[:, None]) + decay * w)
+        speed = np.float32(0.9) * speed - rate * (x.T @ (p * weight[:, None]) + decay * w)
         w = w + speed
     return w
 
@@ -89,21 +96,21 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 30,
     return w
 
 
-def fit(x: np.ndarray, langs: list[str]) -> dict:
-    """The family model and, for each family with several languages, its pairwise machines."""
+def fit_families(x: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray | None]:
+    """Families in order and the weights between them."""
     families = sorted({FAMILY_OF.get(c, c) for c in langs})
-    of = np.array([families.index(FAMILY_OF.get(c, c)) for c in langs])
-    names = np.array(langs)
-    model = {"families": [], "weights": fit_softmax(x, of, len(families)).astype(np.float32) if len(families) > 1 else None}
-    for k in range(len(families)):
-        members = sorted(set(names[of == k]))
-        pairs = []
-        for i, a in enumerate(members):
-            for j in range(i + 1, len(members)):
-                rows = (names == a) | (names == members[j])
-                pairs.append((i, j, fit_svm(x[rows], np.where(names[rows] == a, 1.0, -1.0)).astype(np.float32)))
-        model["families"].append((members, pairs))
-    return model
+    place = {f: i for i, f in enumerate(families)}
+    of = np.array([place[FAMILY_OF.get(c, c)] for c in langs])
+    return families, fit_softmax(x, of, len(families)).astype(np.float32) if len(families) > 1 else None
+
+
+def fit_pair(rows: pa.Table) -> pa.Table:
+    """The machine between the languages of one group of rows (a, b, lang, x)."""
+    a, b = rows.column("a")[0].as_py(), rows.column("b")[0].as_py()
+    told = sorted(zip(rows.column("lang").to_pylist(), rows.column("x").to_pylist()))
+    x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v in told])
+    w = fit_svm(x, np.array([1.0 if c == a else -1.0 for c, _ in told])).astype(np.float32)
+    return pa.table({"a": pa.array([a], pa.string()), "b": pa.array([b], pa.string()), "w": pa.array([w.tobytes()], pa.binary())})
 
 
 def predict(model: dict, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -133,9 +140,11 @@ def remainder(key: Column, divisor: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % divisor
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Fit on doc_id, text, lang. Two narrow passes: languages are counted without the texts, then sampled texts become
-    features on the executors; the driver gets about sample feature vectors a language at most."""
+def train(docs: DataFrame, sample: int = SAMPLE, family_rows: int = FAMILY_ROWS) -> dict | None:
+    """Fit on doc_id, text, lang. Languages are counted without the texts, then sampled texts become features on the
+    executors, written to the shared folder. The driver gets about family_rows feature vectors and a machine for each
+    pair of languages of a family; a pair's group has about 2 * sample vectors."""
+    spark = docs.sparkSession
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
@@ -143,15 +152,34 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            texts, langs = piece.column("text").to_pylist(), piece.column("lang").to_pylist()
-            kept = [(c, grams(t).astype(np.float16).tobytes()) for t, c in zip(texts, langs) if LETTER.search(t)]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([c for c, _ in kept], pa.string()), "x": pa.array([v for _, v in kept], pa.binary())})
-
-    got = sorted((r["lang"], bytes(r["x"])) for r in chosen.select("lang", "text").mapInArrow(features, "lang string, x binary").collect())
-    if not got:
+            texts, langs, marks = (piece.column(c).to_pylist() for c in ("text", "lang", "mark"))
+            kept = [(c, m, grams(t).astype(np.float16).tobytes()) for t, c, m in zip(texts, langs, marks) if has_letter(t)]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([c for c, _, _ in kept], pa.string()), "mark": pa.array([m for _, m, _ in kept], pa.int64()), "x": pa.array([v for _, _, v in kept], pa.binary())})
+
+    again = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).alias("mark")
+    drawn = materialize(chosen.select("lang", "text", again).mapInArrow(features, "lang string, mark long, x binary"), "samples")
+    sizes = {r["lang"]: r["n"] for r in drawn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return None
-    x = np.stack([np.frombuffer(v, np.float16).astype(np.float32) for _, v in got])
-    return fit(x, [c for c, _ in got])
+    families: dict[str, list[str]] = {}
+    for c in sorted(sizes):
+        families.setdefault(FAMILY_OF.get(c, c), []).append(c)
+    rates = [(c, min(1.0, family_rows / len(families) / sum(sizes[m] for m in members))) for members in families.values() for c in members]
+    rates = spark.createDataFrame([(c, int(r * (1 << 30))) for c, r in rates], "lang string, rate long")
+    got = sorted((r["lang"], bytes(r["x"])) for r in drawn.join(F.broadcast(rates), "lang").filter("mark < rate").select("lang", "x").collect())
+    x = np.stack([np.frombuffer(v, np.float16) for _, v in got]).astype(np.float32)
+    names, weights = fit_families(x, [c for c, _ in got])
+    model = {"families": [(families[f], []) for f in names], "weights": weights}
+
+    pairs = [(a, b, c) for members in families.values() for i, a in enumerate(members) for b in members[i + 1 :] for c in (a, b)]
+    if pairs:
+        asked = spark.createDataFrame(pairs, "a string, b string, lang string")
+        fitted = drawn.join(F.broadcast(asked), "lang").select("a", "b", "lang", "x").groupBy("a", "b").applyInArrow(fit_pair, "a string, b string, w binary")
+        home = {c: (i, j) for i, f in enumerate(names) for j, c in enumerate(families[f])}
+        for a, b, w in sorted((r["a"], r["b"], bytes(r["w"])) for r in fitted.collect()):
+            model["families"][home[a][0]][1].append((home[a][1], home[b][1], np.frombuffer(w, np.float32)))
+    release(drawn)
+    return model
 
 
 def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
@@ -164,7 +192,7 @@ def identify(docs: DataFrame, model: dict | None, text: str = "text") -> DataFra
         for piece in slices(batches, text):
             texts = piece.column(text).to_pylist()
             langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
-            told = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if shared.value else []
+            told = [i for i, t in enumerate(texts) if has_letter(t)] if shared.value else []
             for at in range(0, len(told), 256):
                 part = told[at : at + 256]
                 langs[part], scores[part] = predict(shared.value, np.stack([grams(texts[i]) for i in part]))

@@ -1,11 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes: insults by a learned weighted acceptor over word beginnings, threats, targets, negations and
-reporting verbs by fixed lists. Transducers for negation, reported speech and targets rewrite the classes of a clause,
-a scorer weighs what they leave; all are composed into one machine before any text is read. A clause's score is the
-weight of its best path plus the lexical weights of its insults. A logistic model turns a document's clause scores
-into a probability. Lexicon and model are fitted on a bounded sample of labelled documents: about SAMPLE_TOXIC toxic
-and SAMPLE_CLEAN other ones, drawn by a hash of the identifier.
+Words become classes: insults by a learned lexicon of word beginnings, dealt over LEVELS levels by their log odds;
+threats, targets, negations and reporting verbs by fixed lists. Every insult enters through an arc that carries its
+level's learned weight. Transducers for negation, reported speech and targets rewrite the classes of a clause, and the
+scorer's arcs scale the weight by what was rewritten: directed insults count more than plain ones, reported ones less,
+negated ones least. All are composed into one machine before any text is read. A clause's score is the weight of its
+best path; nothing else of a text is scored. A logistic model turns a document's clause scores into a probability.
+
+Lexicon, arc weights, scales and logistic model are fitted on a bounded sample of labelled documents: about SAMPLE_TOXIC
+toxic and SAMPLE_CLEAN other ones, drawn by a hash of the identifier. Scales are searched within SCALES, whose bounds
+keep the order of the grammar where the sample says little about it.
 
 Defined results: null and empty text scores as a text without matched clauses; labels that are null or repeated count
 once, toxic if any row says so; with no labels, or of one kind only, the score is the smoothed share of toxic rows;
@@ -14,6 +18,7 @@ columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -40,61 +45,88 @@ REPORTS = "said says say told wrote claimed called reported quoted according sag
 CLOSED = {w: k for k, ws in (("t", THREATS), ("p", TARGETS), ("n", NEGATIONS), ("r", REPORTS)) for w in ws}
 #: Tokens after a negation or around a target that it reaches.
 REACH = 3
-#: Weights of what the transducers leave: insult, directed insult, negated, reported, threat, directed threat.
-WEIGHTS = {"i": 0.0, "d": 1.0, "x": -3.0, "y": -1.5, "t": -1.0, "T": 2.0}
+#: Levels of insults; weight of a threat, which counts only when directed.
+LEVELS, THREAT = 8, 1.0
+#: Path weight of a clause that counts as strong; features of a document.
+STRONG, FEATURES = 4.0, 7
+#: Features whose weight may have either sign: the constant and the background of weak clauses.
+FREE = (0, 1, 3, 4)
+#: Statuses of a matched word: plain, directed, reported, negated; scales that the fit tries for each.
+STATUSES = "pdyx"
+SCALES = {"p": (1.0,), "d": (1.05, 1.25, 1.5), "y": (0.5, 0.7, 0.9), "x": (0.15, 0.35, 0.6)}
 PIECE = re.compile(r"[^\W\d_]+|[.,;:!?\n]")
-CACHE = 300_000
+#: Input classes of matched words; a clause with one of them; runs of other words that no state tells apart.
+MATCHED = "".join(map(str, range(LEVELS))) + "t"
+HOT = re.compile(rf"[^|]*[{MATCHED}][^|]*")
+IDLE = re.compile("o{%d,}" % (REACH + 2))
+#: Words and clauses remembered; longest that are.
+CACHE, CACHED = 300_000, 64
 
 Machine = dict[tuple[int, str], list[tuple[str, float, int]]]
 
 
+def insults(base: dict[str, float]) -> tuple[Machine, set[int]]:
+    """One state; a matched word of class c becomes cp (plain) at its learned weight."""
+    arcs: Machine = {(0, c): [(c, 0.0, 0)] for c in "opnr"}
+    return arcs | {(0, c): [(c + "p", base.get(c, 0.0), 0)] for c in MATCHED}, {0}
+
+
+def classes(*statuses: str) -> list[str]:
+    """Symbols between transducers: closed classes, and matched words in one of the statuses."""
+    return [*"opnr", *(c + z for c in MATCHED for z in statuses)]
+
+
 def negation() -> tuple[Machine, set[int]]:
-    """An insult or threat up to REACH tokens after a negation becomes x. States count down."""
+    """A matched word up to REACH tokens after a negation becomes negated. States count down."""
     arcs: Machine = {}
     for s in range(REACH + 1):
-        for c in "oitpnr":
-            out = "x" if s and c in "it" else c
-            arcs[s, c] = [(out, 0.0, REACH if c == "n" else max(s - 1, 0))]
+        for c in classes("p"):
+            arcs[s, c] = [(c[0] + "x" if s and len(c) > 1 else c, 0.0, REACH if c == "n" else max(s - 1, 0))]
     return arcs, set(range(REACH + 1))
 
 
 def reported() -> tuple[Machine, set[int]]:
-    """Insults and threats after a reporting verb of the clause become y."""
+    """Plain matched words after a reporting verb of the clause become reported."""
     arcs: Machine = {}
     for s in (0, 1):
-        for c in "oitpnrx":
-            arcs[s, c] = [("y" if s and c in "it" else c, 0.0, 1 if c == "r" else s)]
+        for c in classes("p", "x"):
+            arcs[s, c] = [(c[0] + "y" if s and c.endswith("p") and len(c) > 1 else c, 0.0, 1 if c == "r" else s)]
     return arcs, {0, 1}
 
 
 def directed() -> tuple[Machine, set[int]]:
-    """An insult or threat within REACH tokens of a target becomes d or T. States 0..REACH count down from a target seen;
-    REACH + k has promised a target within k tokens, and is not final."""
+    """A plain matched word within REACH tokens of a target becomes directed. States 0..REACH count down from a target
+    seen; REACH + k has promised a target within k tokens, and is not final."""
     arcs: Machine = {}
-    strong = {"i": "d", "t": "T"}
     for s in range(2 * REACH + 1):
         seen, due = (s, 0) if s <= REACH else (0, s - REACH)
-        for c in "oitpnrxy":
+        for c in classes("p", "x", "y"):
+            plain = len(c) > 1 and c[1] == "p"
             if c == "p":
                 arcs[s, c] = [(c, 0.0, REACH)]
             elif due:
-                arcs[s, c] = [(strong.get(c, c), 0.0, s - 1)] if due > 1 else []
-            elif c in strong:
-                arcs[s, c] = [(strong[c], 0.0, seen - 1)] if seen else [(c, 0.0, 0), (strong[c], 0.0, 2 * REACH)]
+                arcs[s, c] = [(c[0] + "d" if plain else c, 0.0, s - 1)] if due > 1 else []
+            elif plain:
+                arcs[s, c] = [(c[0] + "d", 0.0, seen - 1)] if seen else [(c, 0.0, 0), (c[0] + "d", 0.0, 2 * REACH)]
             else:
                 arcs[s, c] = [(c, 0.0, max(seen - 1, 0))]
     return arcs, set(range(REACH + 1))
 
 
-def scorer() -> tuple[Machine, set[int]]:
-    """One state that weighs each class."""
-    return {(0, c): [("o", WEIGHTS.get(c, 0.0), 0)] for c in "oitpnrxydT"}, {0}
+def scorer(base: dict[str, float], scales: dict[str, float]) -> tuple[Machine, set[int]]:
+    """One state whose arcs turn a matched word's weight into its scaled one; threats count only when directed."""
+    arcs: Machine = {(0, c): [("o", 0.0, 0)] for c in "opnr"}
+    for c in MATCHED:
+        for z in STATUSES:
+            scale = scales[z] if c != "t" or z == "d" else 0.0
+            arcs[0, c + z] = [(c + z, base.get(c, 0.0) * (scale - 1), 0)]
+    return arcs, {0}
 
 
 def compose(first: tuple[Machine, set[int]], second: tuple[Machine, set[int]]) -> tuple[Machine, set[int]]:
     """The machine that feeds first's output to second; only states reachable from (0, 0), renumbered from 0."""
     (a, a_final), (b, b_final) = first, second
-    symbols = {c for _, c in a}
+    symbols = sorted({c for _, c in a})
     number, queue, arcs = {(0, 0): 0}, [(0, 0)], {}
     for p, q in queue:
         for c in symbols:
@@ -109,23 +141,26 @@ def compose(first: tuple[Machine, set[int]], second: tuple[Machine, set[int]]) -
     return arcs, {k for (p, q), k in number.items() if p in a_final and q in b_final}
 
 
-def best_path(machine: tuple[Machine, set[int]], classes: str) -> float:
-    """Largest total weight of a path that reads all classes and ends in a final state."""
+def best_path(machine: tuple[Machine, set[int]], clause: str) -> tuple[float, tuple[str, ...]]:
+    """Largest total weight of a path that reads the whole clause and ends in a final state, and its matched words'
+    output; of equal weights the first in order of the output."""
     arcs, final = machine
-    at = {0: 0.0}
-    for c in classes:
-        step: dict[int, float] = {}
-        for s, w in at.items():
-            for _, more, to in arcs.get((s, c), []):
-                if w + more > step.get(to, -math.inf):
-                    step[to] = w + more
+    at: dict[int, tuple[float, tuple[str, ...]]] = {0: (0.0, ())}
+    for c in clause:
+        step: dict[int, tuple[float, tuple[str, ...]]] = {}
+        for s, (w, told) in at.items():
+            for out, more, to in arcs.get((s, c), []):
+                now = (w + more, told + (out,) if out != "o" else told)
+                if to not in step or (-now[0], now[1]) < (-step[to][0], step[to][1]):
+                    step[to] = now
         at = step
-    return max((w for s, w in at.items() if s in final), default=-math.inf)
+    ends = [at[s] for s in at if s in final]
+    return min(ends, key=lambda e: (-e[0], e[1])) if ends else (-math.inf, ())
 
 
-def grammar() -> tuple[Machine, set[int]]:
-    machine = negation()
-    for other in (reported(), directed(), scorer()):
+def grammar(base: dict[str, float], scales: dict[str, float]) -> tuple[Machine, set[int]]:
+    machine = insults(base)
+    for other in (negation(), reported(), directed(), scorer(base, scales)):
         machine = compose(machine, other)
     return machine
 
@@ -148,49 +183,82 @@ def select_lexicon(rows: list[tuple[str, int, int]], toxic: int, clean: int) ->
     return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
 
 
+def levels(lexicon: dict[str, float]) -> tuple[dict[str, str], dict[str, float]]:
+    """Entries to levels of equal width of log odds, and each level's mean as its arc weight."""
+    low, high = min(lexicon.values(), default=0.0), max(lexicon.values(), default=0.0)
+    of = {e: str(min(int((v - low) / max(high - low, 1e-9) * LEVELS), LEVELS - 1)) for e, v in sorted(lexicon.items())}
+    base = {"t": THREAT}
+    for c in sorted(set(of.values())):
+        own = [lexicon[e] for e in of if of[e] == c]
+        base[c] = round(sum(own) / len(own), 9)
+    return of, base
+
+
+class WordClass(dict):
+    """word -> input class, remembering a bounded number of bounded words; punctuation ends a clause."""
+
+    def __init__(self, of: dict[str, str]):
+        self.of = of
+        self.update(dict.fromkeys(".,;:!?\n", "|"))
+
+    def __missing__(self, word: str) -> str:
+        found = max((self.of[p] for p in beginnings(word) if p in self.of), default=None)
+        kind = found if found is not None else CLOSED.get(word, "o")
+        if len(word) <= CACHED:
+            if len(self) > CACHE:
+                self.clear()
+                self.update(dict.fromkeys(".,;:!?\n", "|"))
+            self[word] = kind
+        return kind
+
+
 class Reader:
-    """Splits texts into clauses and scores those with an insult or a threat."""
+    """Splits texts into clauses and scores those with an insult or a threat by their best path."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.machine, self.seen = lexicon, grammar(), {}
+    def __init__(self, model: dict):
+        self.base, self.kind = model["base"], WordClass(model["levels"])
+        self.machine, self.known = grammar(model["base"], model["scales"]), {}
 
-    def classify(self, word: str) -> tuple[str, float]:
-        hit = self.seen.get(word)
+    def clause(self, text: str) -> tuple[float, tuple[float, ...]]:
+        """Path weight of a clause of classes, and the unscaled weight of its matched words by status."""
+        hit = self.known.get(text)
         if hit is None:
-            if len(self.seen) > CACHE:
-                self.seen.clear()
-            low = word.lower()
-            weights = [self.lexicon[p] for p in beginnings(low) if p in self.lexicon]
-            hit = ("i", max(weights)) if weights else (CLOSED.get(low, "o"), 0.0)
-            self.seen[word] = hit
+            score, told = best_path(self.machine, text)
+            sums = [0.0] * len(STATUSES)
+            for out in told:
+                if out[0] != "t" or out[1] == "d":
+                    sums[STATUSES.index(out[1])] += self.base.get(out[0], 0.0)
+            hit = (score, tuple(sums))
+            if len(text) <= CACHED:
+                if len(self.known) > CACHE:
+                    self.known.clear()
+                self.known[text] = hit
         return hit
 
-    def clauses(self, text: str) -> tuple[list[float], int]:
-        """Scores of the matched clauses, and the number of words."""
-        scores, words, classes, lexical, hot = [], 0, [], 0.0, False
-
-        def close():
-            if hot:
-                scores.append(max(0.0, best_path(self.machine, "".join(classes)) + lexical))
-
-        for m in PIECE.finditer(text):
-            token = m.group()
-            if token in ".,;:!?\n":
-                close()
-                classes, lexical, hot = [], 0.0, False
-                continue
-            words += 1
-            kind, weight = self.classify(token)
-            classes.append(kind)
-            lexical += weight
-            hot |= kind in "it"
-        close()
-        return scores, words
-
-    def features(self, text: str | None) -> list[float]:
-        scores, words = self.clauses(text or "")
-        total = sum(scores)
-        return [1.0, math.log1p(total), max(scores, default=0.0) / 4, math.log1p(len(scores)), math.log1p(100 * total / max(words, 20)), math.log1p(words) / 8]
+    def read(self, text: str | None) -> tuple[list[tuple[float, tuple[float, ...]]], int]:
+        """The matched clauses of a text, and its number of words."""
+        found = "".join(map(self.kind.__getitem__, PIECE.findall((text or "").lower())))
+        return [self.clause(IDLE.sub("o" * (REACH + 1), c)) for c in HOT.findall(found)], len(found) - found.count("|")
+
+    def features(self, text: str | None) -> np.ndarray:
+        hits, words = self.read(text)
+        return shape(np.array([[w] for w, _ in hits]).reshape(-1, 1), words)[0]
+
+    def tried(self, text: str | None, scales: np.ndarray) -> np.ndarray:
+        """Features under each row of scales (in the order of STATUSES); all keep the best path's reading, as a directed
+        word weighs more than a plain one under any."""
+        hits, words = self.read(text)
+        return shape(np.array([s for _, s in hits]).reshape(-1, len(STATUSES)) @ scales.T, words)
+
+
+def shape(weights: np.ndarray, words: int) -> np.ndarray:
+    """Features of a document from path weights (clauses, columns), one row for each column: a constant; the sum of the
+    weights up to half of STRONG; the largest; how many count; that sum per hundred words; the sum of what exceeds half of
+    STRONG, as such and per hundred words."""
+    total, many = np.minimum(weights, STRONG / 2).sum(axis=0), (weights > 0).sum(axis=0)
+    top = weights.max(axis=0, initial=0.0)
+    strong = np.maximum(weights - STRONG / 2, 0.0).sum(axis=0)
+    return np.stack([np.ones_like(total), np.log1p(total), top / STRONG, np.log1p(many), np.log1p(100 * total / max(words, 20)), np.log1p(strong), np.log1p(100 * strong / max(words, 20))], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -207,6 +275,48 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
+def fit_rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """fit_logistic without features that would take a negative weight, but for FREE: among strong clauses a heavier
+    path never lowers the score of a document."""
+    used = list(range(x.shape[1]))
+    while True:
+        w = fit_logistic(x[:, used], y, weight)
+        bad = [f for f, v in zip(used, w) if v < 0 and f not in FREE]
+        if not bad:
+            out = np.zeros(x.shape[1])
+            out[used] = w
+            return out
+        worst = min(bad, key=lambda f: w[used.index(f)])
+        used.remove(worst)
+
+
+def likelihood(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> float:
+    z = x @ w
+    return float((weight * (y * z - np.logaddexp(0, z))).sum())
+
+
+def scale_grid() -> np.ndarray:
+    """All scales that the fit tries, one row each in the order of STATUSES."""
+    return np.array(list(itertools.product(*(SCALES[z] for z in STATUSES))))
+
+
+def fit_scales(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
+    """Of x (rows, scales tried, features): the scales and the logistic weights of largest likelihood; the first of
+    equal ones."""
+    best = None
+    for k, tried in enumerate(scale_grid().tolist()):
+        w = fit_rising(x[:, k], y, weight)
+        now = likelihood(x[:, k], y, weight, w)
+        if best is None or now > best[0] + 1e-9:
+            best = now, dict(zip(STATUSES, tried)), w
+    return best[1], best[2]
+
+
+def constant(base: float) -> dict:
+    """A model without lexicon that gives every text the probability base."""
+    return {"levels": {}, "base": {"t": THREAT}, "scales": {z: SCALES[z][0] for z in STATUSES}, "weights": [math.log(base / (1 - base))] + [0.0] * (FEATURES - 1)}
+
+
 def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> dict:
     """Fit on docs(doc_id, text) and labels(doc_id, toxic). Labels are sampled first, so the broadcast side of the join
     has at most about toxic + clean rows; the driver gets entry counts over LEAST_DOCS and features of the sample."""
@@ -215,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     many, few = sizes.get(False, 0), sizes.get(True, 0)
     base = (few + 1) / (few + many + 2)
     if not few or not many:
-        return {"lexicon": {}, "weights": [math.log(base / (1 - base))] + [0.0] * 5}
+        return constant(base)
     mark = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     rates = (min(1.0, clean / many), min(1.0, toxic / few))
     sample = told.filter(mark < F.when(F.col("toxic") != 0, rates[1]).otherwise(rates[0]))
@@ -233,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
 
         for piece in slices(batches, "text"):
             for text, hit in zip(piece.column("text").to_pylist(), piece.column("hit").to_pylist()):
-                words = {m.lower() for m in re.findall(r"[^\W\d_]+", text or "")}
+                words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
                 counts[hit].update({p for w in words for p in beginnings(w)})
                 counts[hit]["\0"] += 1
                 if len(counts[0]) + len(counts[1]) > CACHE:
@@ -246,28 +356,32 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     wanted = summed.filter((F.col("a") >= LEAST_DOCS) & (F.col("a") > F.lit(3.0 * scale) * F.col("b"))).orderBy(F.desc(F.col("a") / (F.col("b") * scale + 2)), "entry").limit(4 * MOST_ENTRIES)
     lexicon = select_lexicon([tuple(r) for r in wanted.collect() if r["entry"] != "\0"], max(1, round(n_toxic)), max(1, round(n_clean)))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(lexicon)
+    of, weights = levels(lexicon)
+    model = {"levels": of, "base": weights, "scales": {z: SCALES[z][0] for z in STATUSES}}
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, grid = Reader(model), scale_grid()
         for piece in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([reader.features(t) for t in piece.column("text").to_pylist()], pa.list_(pa.float64())), piece.column("hit")], names=["x", "hit"])
+            rows = [reader.tried(t, grid).astype(np.float32).tobytes() for t in piece.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), piece.column("hit")], names=["x", "hit"])
 
-    got = drawn.mapInArrow(features, "x array<double>, hit boolean").collect()
-    if len({r["hit"] for r in got}) < 2:
-        return {"lexicon": lexicon, "weights": [math.log(base / (1 - base))] + [0.0] * 5}
-    x, y = np.array([r["x"] for r in got]), np.array([r["hit"] for r in got], float)
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    return {"lexicon": lexicon, "weights": fit_logistic(x, y, np.where(y > 0, 1 / rates[1], 1 / rates[0])).tolist()}
+    got = sorted((bytes(r["x"]), r["hit"]) for r in drawn.mapInArrow(tried, "x binary, hit boolean").collect())
+    if len({hit for _, hit in got}) < 2:
+        return constant(base)
+    x = np.stack([np.frombuffer(v, np.float32).reshape(-1, FEATURES) for v, _ in got]).astype(float)
+    y = np.array([hit for _, hit in got], float)
+    model["scales"], fitted = fit_scales(x, y, np.where(y > 0, 1 / rates[1], 1 / rates[0]))
+    return model | {"weights": fitted.tolist()}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs plus score and predicted. One pass, no shuffle; the model has at most MOST_ENTRIES entries."""
     docs = docs.drop("score", "predicted")
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string("score double, predicted int").fields)
-    lexicon, weights = model["lexicon"], np.array(model["weights"])
+    weights = np.array(model["weights"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(lexicon)
+        reader = Reader(model)
         for piece in slices(batches, text):
             x = np.array([reader.features(t) for t in piece.column(text).to_pylist()]).reshape(-1, len(weights))
             p = (1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))).round(6)

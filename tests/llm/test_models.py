@@ -147,13 +147,91 @@ def test_long_text_features_are_whole(monkeypatch):
     assert np.allclose(whole, li.grams(text), atol=1e-6)
 
 
+BASE = {"t": 1.0, "0": 1.5, "5": 4.0, "7": 6.0}
+SCALED = {"p": 1.0, "d": 1.25, "y": 0.5, "x": 0.25}
+
+
 def test_composed_grammar():
-    machine = tx.grammar()
-    score = lambda c: tx.best_path(machine, c)
-    assert score("oio") == tx.WEIGHTS["i"] and score("opoi") == score("iop") == tx.WEIGHTS["d"]
-    assert score("noi") == tx.WEIGHTS["x"] and score("noooi") == tx.WEIGHTS["i"]
-    assert score("roooooi") == tx.WEIGHTS["y"] and score("tp") == tx.WEIGHTS["T"] and score("t") == tx.WEIGHTS["t"]
-    assert score("") == 0 and not math.isinf(score("opnritpi" * 5))
+    machine = tx.grammar(BASE, SCALED)
+    score = lambda c: tx.best_path(machine, c)[0]
+    assert score("o5o") == 4.0 and score("opo5") == score("5op") == 5.0
+    assert score("no5") == 1.0 and score("noo5") == 1.0 and score("nooo5") == 4.0
+    assert score("rooooo5") == 2.0 and score("tp") == 1.25 and score("t") == 0.0 and score("ntp") == 0.0
+    assert score("5o7") == 10.0 and score("n5p") == 1.0
+    assert score("") == 0 and not math.isinf(score("opnr0tp5" * 5))
+
+
+def all_paths(machine, clause, state=0):
+    """Weight and output of every path from a state that reads the clause and ends in a final state."""
+    arcs, final = machine
+    if not clause:
+        return [(0.0, ())] if state in final else []
+    return [(w + more, ((out,) if out != "o" else ()) + told) for out, w, to in arcs.get((state, clause[0]), []) for more, told in all_paths(machine, clause[1:], to)]
+
+
+def test_best_path_is_the_best_of_all_paths():
+    rng, machine = random.Random(4), tx.grammar(BASE, SCALED)
+    for _ in range(300):
+        clause = "".join(rng.choice("oopnrt0557") for _ in range(rng.randrange(9)))
+        paths = all_paths(machine, clause)
+        got = tx.best_path(machine, clause)
+        assert paths and got[0] == pytest.approx(max(w for w, _ in paths)) and any(got[1] == told and w == pytest.approx(got[0]) for w, told in paths)
+
+
+def test_composition_equals_the_cascade():
+    """One composed machine weighs as the transducers do one after the other."""
+    rng = random.Random(6)
+    parts = [tx.insults(BASE), tx.negation(), tx.reported(), tx.directed(), tx.scorer(BASE, SCALED)]
+
+    def cascade(clause):
+        tapes = [((), 0.0, tuple(clause))]
+        for arcs, final in parts:
+            after = []
+            for _, weight, tape in tapes:
+                heads = [((), weight, 0)]
+                for c in tape:
+                    heads = [(told + (out,), w + more, to) for told, w, s in heads for out, more, to in arcs.get((s, c), [])]
+                after += [((), w, told) for told, w, s in heads if s in final]
+            tapes = after
+        return max(w for _, w, _ in tapes)
+
+    machine = tx.grammar(BASE, SCALED)
+    for _ in range(100):
+        clause = "".join(rng.choice("oopnrt057") for _ in range(rng.randrange(1, 8)))
+        assert tx.best_path(machine, clause)[0] == pytest.approx(cascade(clause))
+
+
+def test_idle_runs_do_not_matter():
+    rng, machine = random.Random(8), tx.grammar(BASE, SCALED)
+    for _ in range(200):
+        clause = "".join(rng.choice(["o" * rng.randrange(9), *"pnrt57"]) for _ in range(8))
+        short, long = tx.best_path(machine, tx.IDLE.sub("o" * (tx.REACH + 1), clause)), tx.best_path(machine, clause)
+        assert short[0] == pytest.approx(long[0]) and short[1] == long[1]
+
+
+def test_scores_follow_the_grammar(monkeypatch):
+    """Directed, plain, reported and negated insults rank in this order; without the grammar no text is scored."""
+    model = {"levels": {"snarf$": "7", "grubb": "5"}, "base": BASE, "scales": SCALED, "weights": [-4.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.5]}
+    reader = tx.Reader(model)
+    score = lambda t: float(reader.features(t) @ np.array(model["weights"]))
+    for w in ("snarf", "grubble"):
+        texts = [f"you are a {w} indeed", f"here is a {w} indeed", f"he wrote that some big old fat {w} came", f"this is not a {w} indeed"]
+        found = [score(t) for t in texts]
+        assert found == sorted(found, reverse=True) and len(set(found)) == 4
+    for text in ("i will kill them", "they will destroy you"):
+        assert score(text) > score(text.replace("kill", "k").replace("destroy", "d")) == score("the letter is here")
+    monkeypatch.setattr(tx, "best_path", lambda machine, clause: (0.0, ()))
+    reader.known.clear()
+    assert score("you are a snarf") == -4.0
+
+
+def test_heavier_paths_never_lower_the_score(spark):
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(500, tx.FEATURES)))
+    x[:, 0] = 1
+    y = (x[:, 5] - x[:, 2] + rng.normal(size=500) > 0).astype(float)
+    w = tx.fit_rising(x, y, np.ones(500))
+    assert (w[[f for f in range(tx.FEATURES) if f not in tx.FREE]] >= 0).all() and w[5] > 0 and w[2] == 0
 
 
 def test_toxicity_held_out(spark, tmp_path):
@@ -184,3 +262,53 @@ def test_labels_of_one_kind(spark, nothing):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = tx.train(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert all(r["score"] == pytest.approx(0.25) for r in tx.score(docs, model).collect())
+
+
+def test_numerals_are_no_letters(spark):
+    assert not any(map(li.has_letter, ("½ ² Ⅷ", "١٢٣ _", "", None, "!?" * 9))) and all(map(li.has_letter, ("½ a", "ß", "語", "१ क")))
+    rows = [(i, t, c) for i, t, c in language_rows()] + [(2000, "½ ² Ⅷ", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in li.identify(df, li.train(df)).filter("doc_id = 2000").collect()} == {"und"}
+
+
+def test_prediction_by_hand():
+    """Family probability, pairwise votes and trust of a small model, recomputed one row at a time."""
+    rng = np.random.default_rng(5)
+    model = {"families": [(["a", "b", "c"], [(i, j, rng.normal(size=7).astype(np.float32)) for i, j in ((0, 1), (0, 2), (1, 2))]), (["z"], [])], "weights": rng.normal(size=(7, 2)).astype(np.float32)}
+    x = rng.normal(size=(200, 6)).astype(np.float32)
+    names, scores = li.predict(model, x)
+    for row, name, score in zip(x, names, scores):
+        one = [*map(float, row), 1.0]
+        z = [math.exp(sum(v * float(model["weights"][k, f]) for k, v in enumerate(one))) for f in (0, 1)]
+        f = int(z[1] > z[0])
+        members, pairs = model["families"][f]
+        votes, trust = [0.0] * len(members), [0.0] * len(members)
+        for i, j, w in pairs:
+            margin = sum(v * float(u) for v, u in zip(one, w))
+            sure = 1 / (1 + math.exp(-2 * margin))
+            votes[i] += margin >= 0
+            votes[j] += margin < 0
+            trust[i] += sure
+            trust[j] += 1 - sure
+        best = max(range(len(members)), key=lambda k: (votes[k] + 1e-3 * trust[k], -k))
+        assert name == members[best]
+        assert score == pytest.approx(z[f] / sum(z) * (trust[best] / 2 if pairs else 1.0), abs=1e-4)
+
+
+def test_machine_is_at_the_optimum():
+    """The dual's solution has no slope in the primal: ridge and squared hinge balance."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    w = li.fit_svm(x, y, cost=0.5, epochs=400)
+    one = np.hstack([x, np.ones((60, 1))])
+    slack = np.maximum(0, 1 - y * (one @ w))
+    assert np.abs(w - 2 * 0.5 * ((slack * y)[:, None] * one).sum(axis=0)).max() < 1e-3
+
+
+def test_the_family_model_is_bounded(spark):
+    rows = language_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.train(df, family_rows=60)
+    got = li.identify(df, model).collect()
+    assert [m for m, _ in model["families"]] == [["de", "en"], ["es", "fr"]] and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
