@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import byte_view, clash_free, materialize, slices
+from tessella.llm.common import byte_view, clash_free, materialize, release, slices
 
 #: Words a shingle, unless near_groups is told otherwise; similarity threshold in percent.
 WORDS, PERCENT = 2, 80
@@ -35,8 +35,8 @@ WORDS, PERCENT = 2, 80
 BANDS, ROWS, BITS, SET_BITS = 48, 6, 1024, 2048
 #: Standard deviations below the threshold that a sketch may estimate before a pair is dropped.
 SLACK = 5.0
-#: Rows compared side by side; groups over which the partners of one node are dealt; most requests that are broadcast.
-BLOCK, SALTS, BROADCAST_ROWS = 512, 32, 100_000
+#: Rows compared side by side; partners of a node in one group; most requests that are broadcast.
+BLOCK, PARTNERS, BROADCAST_ROWS = 512, 1024, 100_000
 CHUNK, CACHE = 1 << 16, 200_000
 
 
@@ -141,9 +141,11 @@ def signatures(batches: Iterator[pa.RecordBatch], size: int = WORDS) -> Iterator
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
-    One join brings texts to requests; partners of a node are dealt over SALTS groups, each of which streams through
-    one task after the node's own text, so memory holds two sets at a time."""
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    One join brings texts to requests; partners of a node are dealt over groups of about PARTNERS, each of which streams
+    through one task after the node's own text, so memory holds two sets at a time."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups")).filter("groups > 1")
+    pairs = pairs.select("a", "b").join(groups, "a", "left")
+    pairs = pairs.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).cast("int").alias("salt"))
     first = pairs.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
     asked = materialize(first.unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "salt", "b")), "requests")
     small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -172,28 +174,32 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, size: int
     return materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "edges")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for every node of edges(a, b) that is not itself the smallest, by
     alternating star contractions.
 
     The smallest neighbour of each node is a partially aggregated minimum; it is written, so that the join that follows
-    can be split when one node has very many edges."""
+    can be split when one node has very many edges. Rounds go on until the edges are stars: every node has one edge
+    to a smaller one, and no centre has an edge of its own."""
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    before = None
-    for _ in range(most_rounds):
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "large")
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u <> v").distinct(), "stars")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
-        if now == before:
-            break
-        before = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return materialize(stars, "components")
+        after = materialize(small.filter("u <> v").distinct(), "stars")
+        release(edges, least, large, low)
+        edges = after
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every u of edges(u, v) has one edge and no v is a u."""
+    if not edges.groupBy("u").count().filter("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Documents of more than MAX_TOKENS tokens are cut into pieces of that length and a rest. Dynamic programming over the
 global histogram of piece lengths, which has at most MAX_TOKENS cells, chooses the bucket widths that minimise padding.
 Inside each bucket, pieces in a hashed order fill batches of BATCH_TOKENS // width slots. A bucket with a third of all
-pieces is ranked over SPLITS hash groups with prefix counts.
+pieces is ranked over SPLITS hash groups or more with prefix counts.
 
 Defined results: null and empty text has no tokens and no pieces; repeated rows are separate documents; ties in the hashed
 order fall by identifier and piece; an empty table gives an empty result; columns named like the added ones are replaced.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import clash_free, materialize
 from tessella.llm.longest_match import VOCABULARY, token_counts
 
-#: Longest sequence; number of buckets; tokens of a batch, padding included; hash groups of a bucket.
-MAX_TOKENS, BUCKETS, BATCH_TOKENS, SPLITS = 2048, 16, 65536, 256
+#: Longest sequence; number of buckets; tokens of a batch, padding included; least hash groups of a bucket, pieces for each.
+MAX_TOKENS, BUCKETS, BATCH_TOKENS, SPLITS, SPLIT_ROWS = 2048, 16, 65536, 256, 1_000_000
 
 
 def bucket_widths(counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -75,15 +75,15 @@ def pack(sized: DataFrame, key: str = "doc_id", length: str = "n_tokens", most:
     for w in reversed(widths[:-1]):
         width = F.when(F.col("tokens") <= w, F.lit(w)).otherwise(width)
     mark = F.xxhash64(key, "piece")
-    pieces = pieces.withColumn("width", width.cast("long")).withColumn("_g", F.pmod(mark, F.lit(SPLITS)))
+    pieces = pieces.withColumn("width", width.cast("long")).withColumn("_g", F.pmod(mark, F.lit(max(SPLITS, int(counts.sum()) // SPLIT_ROWS))))
     groups = pieces.groupBy("width", "_g").agg(F.count(F.lit(1)).alias("_n"))
     before = (F.sum("_n").over(W.partitionBy("width").orderBy("_g")) - F.col("_n")).alias("_before")
-    groups = materialize(groups.select("width", "_g", before), "groups")  # at most buckets * SPLITS rows
+    groups = materialize(groups.select("width", "_g", before), "groups")
     ranked = pieces.withColumn("_k", F.row_number().over(W.partitionBy("width", "_g").orderBy(F.xxhash64(key, "piece", F.lit(3)), key, "piece")))
     at = F.col("_before") + F.col("_k") - 1
     slots = F.greatest(F.lit(1), F.floor(F.lit(batch_tokens) / F.col("width"))).cast("long")
     batch = F.concat_ws("-", F.col("width"), F.floor(at / slots))
-    return ranked.join(F.broadcast(groups), ["width", "_g"]).withColumn("batch", batch).withColumn("slot", at % slots).select(*kept, *added)
+    return ranked.join(groups, ["width", "_g"]).withColumn("batch", batch).withColumn("slot", at % slots).select(*kept, *added)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import clash_free, global_rank, materialize, word_count
+from tessella.llm.common import clash_free, global_rank, materialize, release, word_count
 
 #: Weights of the sources in order, repeating; share of all words that is taken; most copies of a document.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-#: Hash buckets into which documents of one source and size are split.
-SPLITS = 256
+#: Least hash buckets into which documents of one source and size are split, and documents for each.
+SPLITS, SPLIT_ROWS = 256, 1_000_000
+#: Newton steps between two writes; relative width of a bracket that holds no other number.
+STRIDE, NARROW = 4, 1e-15
 
 
 def source_targets(hist: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -47,34 +49,50 @@ def source_targets(hist: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return ranked.withColumn("target", F.least(limit, F.lit(level) * F.col("weight")))
 
 
-def tilted_rates(hist: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = 1e-7, most_steps: int = 80) -> DataFrame:
-    """hist(sid, size, n) plus rate: the dual's solution by safeguarded Newton steps.
-
-    A step is one join and one partially aggregated sum over the histogram; the multipliers are written to the shared
-    folder between steps. The bracket [low, high] always holds the root; a step that leaves it becomes a bisection."""
+def newton_step(cells: DataFrame, state: DataFrame, cap: int, tolerance: float) -> DataFrame:
+    """state after one safeguarded step of every source: one join and one partially aggregated sum over the cells.
+
+    Sums are decimals, so that no order of rows changes a bit of them. The bracket [low, high] always holds the root; a step
+    that leaves it, or comes from a gap that the step before has not halved, becomes a bisection."""
+    top, z = F.lit(float(cap)), F.col("size") / F.col("scale")
+    r = F.least(top, F.exp(F.least(F.col("lam") * z, F.lit(50.0))))
+    exact = lambda c: F.sum(c.cast("decimal(38,15)")).cast("double")
+    sums = cells.join(state, "sid").groupBy("sid", "target", "scale", "lam", "low", "high", "gap").agg(
+        exact(F.col("n") * z * r).alias("got"), exact(F.when(r < top, F.col("n") * z * z * r).otherwise(0.0)).alias("slope")
+    )
+    now = sums.withColumn("now", F.col("got") - F.col("target") / F.col("scale"))
+    low, high = F.when(F.col("now") <= 0, F.col("lam")).otherwise(F.col("low")), F.when(F.col("now") >= 0, F.col("lam")).otherwise(F.col("high"))
+    step = F.when(F.col("slope") > 0, F.col("lam") - F.col("now") / F.col("slope"))
+    miss = F.when(F.col("target") > 0, F.abs("now") * F.col("scale") / F.col("target")).otherwise(0.0)
+    moved = now.select("sid", "target", "scale", "lam", low.alias("low"), high.alias("high"), step.alias("step"), miss.alias("miss"), F.col("gap").alias("old"), F.abs("now").alias("gap"))
+    good = F.col("step").isNotNull() & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high")) & (F.col("gap") <= F.col("old") / 2)
+    done = (F.col("miss") <= tolerance) | (F.col("high") - F.col("low") <= NARROW * F.greatest(F.abs("low"), F.abs("high")))
+    to = F.when(done, F.col("lam")).when(good, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
+    return moved.select("sid", "target", "scale", to.alias("lam"), "low", "high", "gap", done.alias("done"))
+
+
+def tilted_rates(hist: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = 1e-7, stride: int = STRIDE, most_steps: int = 600) -> DataFrame:
+    """hist(sid, size, n) plus rate: the dual's solution by safeguarded Newton steps, until every source meets its target
+    or its bracket has no number left inside.
+
+    The multipliers are written to the shared folder after each stride of steps. Every step halves the gap or the
+    bracket, so most_steps is never reached; if it were, an error tells."""
     top = F.lit(float(cap))
     state = targets.filter("source_size > 0").select(
         "sid", "target", F.col("largest").cast("double").alias("scale"), F.lit(0.0).alias("lam"),
         F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) * F.col("largest") / F.col("least") - 1e-9).alias("low"),
-        (F.log(top) * F.col("largest") / F.col("least")).alias("high"), F.lit(1.0).alias("miss"),
+        (F.log(top) * F.col("largest") / F.col("least")).alias("high"), F.lit(float("inf")).alias("gap"),
     )
-    z = F.col("size") / F.col("scale")
-    for _ in range(most_steps):
-        r = F.least(top, F.exp(F.least(F.col("lam") * z, F.lit(50.0))))
-        sums = hist.join(state, "sid").groupBy("sid", "target", "scale", "lam", "low", "high").agg(
-            F.sum(F.col("n") * z * r).alias("got"), F.sum(F.when(r < top, F.col("n") * z * z * r).otherwise(0.0)).alias("slope")
-        )
-        gap = F.col("got") - F.col("target") / F.col("scale")
-        low, high = F.when(gap <= 0, F.col("lam")).otherwise(F.col("low")), F.when(gap >= 0, F.col("lam")).otherwise(F.col("high"))
-        step = F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope"))
-        miss = F.when(F.col("target") > 0, F.abs(gap) * F.col("scale") / F.col("target")).otherwise(0.0)
-        moved = sums.select("sid", "target", "scale", "lam", low.alias("low"), high.alias("high"), step.alias("step"), miss.alias("miss"))
-        inside = F.col("step").isNotNull() & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high"))
-        to = F.when(F.col("miss") <= tolerance, F.col("lam")).when(inside, F.col("step")).otherwise((F.col("low") + F.col("high")) / 2)
-        state = materialize(moved.select("sid", "target", "scale", to.alias("lam"), "low", "high", "miss"), "newton")
-        worst = state.agg(F.max("miss")).first()[0]
-        if worst is None or worst <= tolerance:
+    for _ in range(0, most_steps, stride):
+        before = state
+        for _ in range(stride):
+            state = newton_step(hist, state.drop("done"), cap, tolerance)
+        state = materialize(state, "newton")
+        release(before)
+        if state.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise ArithmeticError("source weights do not converge")
     rate = F.when(F.col("lam").isNull(), 1.0).otherwise(F.least(top, F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
     return hist.join(state.select("sid", "lam", "scale"), "sid", "left").withColumn("rate", rate).drop("lam", "scale")
 
@@ -83,7 +101,7 @@ def entropy_mix(rows: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: fl
     """rows(source, size, key, ...) plus source_size, target, rate and copies (0 to cap).
 
     rows should be cheap to read twice. Copies of a (source, size) cell are dealt in the order of a hash of the key,
-    ranked over hash buckets with prefix counts, so a cell with a third of all rows is spread over SPLITS groups."""
+    ranked over hash buckets with prefix counts, so a cell with a third of all rows is spread over SPLITS groups or more."""
     spark = rows.sparkSession
     rows = rows.drop("source_size", "target", "rate", "copies", "taken")
     hist = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
@@ -98,7 +116,8 @@ def entropy_mix(rows: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: fl
     cells = materialize(cells.join(targets.select("sid", "source", "source_size", "target"), "sid"), "dealt")
 
     mark = F.xxhash64(F.col(key))
-    bucket = F.pmod(mark, F.lit(SPLITS))
+    many = hist.agg(F.sum("n")).first()[0] or 0
+    bucket = F.pmod(mark, F.lit(max(SPLITS, many // SPLIT_ROWS)))
     places = rows.groupBy("source", "size", bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("source", "size").orderBy("_b")) - F.col("_n")
     places = places.withColumn("_before", before).drop("_n")

@@ -16,8 +16,9 @@ identifier, or before in the same one; judged on the input). Three narrow steps
 Exact copies of a text are settled with their first copy: a copy of at least LENGTH bytes is removed whole.
 
 Defined results: null and empty text has no bytes; a row with a null identifier is compared with nothing and keeps its
-bytes; rows that repeat an identifier and text are one document, and different texts under one identifier do not remove
-each other; an empty table gives an empty result; other columns are ignored.
+bytes; rows that repeat an identifier and text are one document; different texts under one identifier are documents of
+their own, and one of them keeps a passage that they share; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -204,3 +205,25 @@ def test_search(k):
     slots = np.flatnonzero(shard.end[shard.order] - shard.order >= sd.LENGTH)
     probes = np.stack([np.frombuffer(text[i : i + 100], np.uint8) for i in (0, 77, 500)] + [rng.integers(0, 4, 100, np.uint8)])
     assert sd.search(shard, slots, probes).tolist() == [True, True, True, False]
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    """A path of 5,000 nodes in shuffled numbering, a star, and a cycle: no limit of rounds."""
+    rng = random.Random(3)
+    names = rng.sample(range(10_000, 20_000), 5000)
+    edges = list(zip(names, names[1:])) + [(1, k) for k in range(2, 600)] + [(700, 701), (701, 702), (702, 700)]
+    rng.shuffle(edges)
+    got = {r["node"]: r["component"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: min(names) for n in names if n != min(names)} | {k: 1 for k in range(2, 600)} | {701: 700, 702: 700}
+    assert got == want
+
+
+def test_different_texts_of_one_identifier(spark):
+    """One of the two keeps the passage that they share, and nothing else goes."""
+    rng = random.Random(11)
+    noise = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    shared = noise(300)
+    rows = [(4, noise(200) + shared + noise(150)), (4, noise(250) + shared + noise(170))]
+    got = sd.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    removed = sorted(r["n_removed"] for r in got)
+    assert removed[0] == 0 and 300 <= removed[1] <= 303

@@ -126,3 +126,36 @@ def test_packing_documents(spark, folder, corpus, nothing):
     got = packing.op9_packing(spark, folder).collect()
     assert {r["doc_id"] for r in got} == {r[0] for r in corpus if words(r[1])}
     assert packing.pack(nothing.select("doc_id", F.lit(3).cast("long").alias("n_tokens"))).count() == 0
+
+
+@pytest.mark.parametrize("sizes, target", [
+    ({1: 10, 1_000_000: 1}, 1_000_100.0), ({1: 1_000_000, 50_000: 40}, 2_999_000.0), ({7: 3}, 41.9999999), ({5: 10, 6: 10}, 1e-6), ({1: 5, 2: 5}, 30.0),
+])
+def test_slow_sources_reach_their_targets(spark, sizes, target):
+    """Sizes that differ by six orders of magnitude, targets at the bound or near nothing: no step limit ends early."""
+    hist = spark.createDataFrame([(1, s, n) for s, n in sizes.items()], "sid long, size long, n long")
+    total = sum(s * n for s, n in sizes.items())
+    targets = spark.createDataFrame([(1, "a", total, max(sizes), min(sizes), target)], "sid long, source string, source_size long, largest long, least long, target double")
+    rates = {r["size"]: r["rate"] for r in sm.tilted_rates(hist, targets).collect()}
+    assert sum(s * n * rates[s] for s, n in sizes.items()) == pytest.approx(target, rel=2e-7)
+
+
+def test_packed_batches_by_brute_force(spark):
+    """Every piece once, in the narrowest bucket that holds it; slots of a batch are distinct and within its tokens."""
+    rng = random.Random(7)
+    sized = [(i, rng.choice([0, 1, 5, 40, 41, 300, 2048, 2049, 5000])) for i in range(500)] + [(9, 41), (9, 41)]
+    got = packing.pack(spark.createDataFrame(sized, "doc_id long, n_tokens long")).collect()
+    want = sorted((d, p, p * 2048, min(2048, n - p * 2048)) for d, n in sized for p in range(-(-n // 2048)))
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["tokens"]) for r in got) == want
+    counts = np.bincount([w[3] for w in want], minlength=2049)
+    widths = packing.bucket_widths(counts)
+    assert all(r["width"] == min(w for w in widths if w >= r["tokens"]) for r in got)
+    batches = defaultdict(list)
+    for r in got:
+        batches[r["batch"]].append((r["slot"], r["width"]))
+    for slots in batches.values():
+        assert len({s for s, _ in slots}) == len(slots) and len({w for _, w in slots}) == 1
+        assert len(slots) * slots[0][1] <= packing.BATCH_TOKENS
+    for w in widths:  # all batches of a bucket are full but the last
+        sizes = sorted(len(s) for s in batches.values() if s[0][1] == w)
+        assert all(n == packing.BATCH_TOKENS // w for n in sizes[1:])

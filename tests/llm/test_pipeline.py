@@ -73,3 +73,35 @@ def test_empty_documents(spark, nothing):
     for _, stage in pipeline.STAGES:
         found = stage(spark, found, "")
     assert found.count() == 0
+
+
+def test_mix_meets_the_targets_of_its_input(stages):
+    from collections import Counter
+
+    from test_mix_and_packing import water_fill, words
+
+    before, after = rows_of(stages[3]), rows_of(stages[4])
+    sizes, taken = Counter(), Counter()
+    for r in before:
+        sizes[r[3]] += words(r[1])
+    for r in after:
+        taken[r[3]] += words(r[1])
+    largest, target = max(words(r[1]) for r in before), water_fill(dict(sizes))
+    assert all(abs(taken[s] - target[s]) <= 2 * largest for s in target)
+
+
+def test_mix_of_repeated_and_null_rows(spark):
+    rows = [(1, "a b c", "en", "s1", 5)] * 3 + [(1, "other words", "en", "s1", 5), (None, "x y", None, None, None), (None, "x y", None, None, None), (2, None, "de", "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = rows_of(pipeline.mixing(spark, df, ""))
+    assert set(after) <= set(rows) and all(after.count(r) <= 2 * rows.count(r) for r in set(rows))
+    assert after.count(rows[-1]) == 1
+
+
+def test_the_row_that_stays_does_not_depend_on_partitions(spark):
+    rows = [(1, f"text {i} of the same identifier", "en", f"s{i}", i) for i in range(9)]
+    found = set()
+    for n in (1, 3, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        found.add(tuple(rows_of(pipeline.near_duplicates(spark, df, ""))))
+    assert len(found) == 1 and len(next(iter(found))) == 1
