@@ -202,11 +202,11 @@ class Counter:
         for i in range(0, len(short), 1 << 16):
             part = short[i : i + (1 << 16)]
             self.known.update(zip(part, count_together(self.a, part, self.lead).tolist()))
-        for w in fresh:
-            if len(w) > LONG_WORD:
-                if self.edges is None:
-                    self.edges = dict(zip(self.a.edges.tolist(), self.a.to.tolist()))
-                self.known[w] = count_one(self.edges, self.a, self.lead + w)
+        self.long = [w for w in fresh if len(w) > LONG_WORD]  # counted now, forgotten after use
+        if self.long and self.edges is None:
+            self.edges = dict(zip(self.a.edges.tolist(), self.a.to.tolist()))
+        for w in self.long:
+            self.known[w] = count_one(self.edges, self.a, self.lead + w)
 
     def count(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, tokens and unknown words of each text."""
@@ -215,6 +215,8 @@ class Counter:
         get, n = self.known.__getitem__, len(texts)
         sizes = np.fromiter(map(len, words), np.int64, n)
         each = np.fromiter(map(get, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        for w in self.long:
+            del self.known[w]
         row = np.repeat(np.arange(n), sizes)
         unknown = np.bincount(row, each < 0, minlength=n).astype(np.int64)
         return sizes, np.bincount(row, np.where(each < 0, 1, each), minlength=n).astype(np.int64), unknown

@@ -143,8 +143,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, size: int
 
     One join brings texts to requests; partners of a node are dealt over groups of about PARTNERS, each of which streams
     through one task after the node's own text, so memory holds two sets at a time."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups")).filter("groups > 1")
-    pairs = pairs.select("a", "b").join(groups, "a", "left")
+    groups = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups")).filter("groups > 1"), "hubs")
+    hubs = groups.limit(BROADCAST_ROWS + 1).count()
+    pairs = pairs.select("a", "b").join(F.broadcast(groups) if hubs <= BROADCAST_ROWS else groups, "a", "left")
     pairs = pairs.select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("groups")), F.lit(0)).cast("int").alias("salt"))
     first = pairs.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
     asked = materialize(first.unionByName(pairs.select(F.col("b").alias("doc_id"), "a", "salt", "b")), "requests")

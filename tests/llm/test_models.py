@@ -312,3 +312,52 @@ def test_the_family_model_is_bounded(spark):
     model = li.train(df, family_rows=60)
     got = li.identify(df, model).collect()
     assert [m for m, _ in model["families"]] == [["de", "en"], ["es", "fr"]] and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
+
+
+#: Article 1 of the Universal Declaration of Human Rights, public text.
+DIGNITY = {
+    "latin": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. "
+    "Everyone is entitled to all the rights and freedoms set forth in this Declaration, without distinction of any kind, such as race, colour, sex, language, religion, political or other opinion.",
+    "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+    "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם. כולם חוננו בתבונה ובמצפון, לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחווה.",
+    "arabic": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق. وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء.",
+    "kana": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。",
+    "han": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+    "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다.",
+}
+
+
+def outside(row):
+    """The measures of a row that lie outside their band."""
+    low, high, most, least = fe.BANDS[row["script"]]
+    bits = least * math.log2(min(max(row["n_tokens"], 1), fe.ENTROPY_TOKENS))
+    return {n for n, bad in (("few", row["chars_per_token"] < low), ("many", row["chars_per_token"] > high), ("bytes", row["byte_share"] > most), ("entropy", row["token_entropy"] < bits)) if bad}
+
+
+def test_public_text_of_each_script_lies_in_its_band(spark):
+    rows = list(DIGNITY.items())
+    got = fe.fertility(spark.createDataFrame(rows, "name string, text string")).collect()
+    assert {r["name"]: r["script"] for r in got} == {s: s for s in DIGNITY}
+    assert all(not outside(r) for r in got)
+
+
+def test_each_measure_rejects(spark):
+    """What each band is there for, in texts that the base rules pass."""
+    rng = random.Random(1)
+    mash = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ0123456789") for _ in range(12)) for _ in range(80))
+    rare = " ".join(rng.choice("abcdefghi") + "".join(chr(rng.randrange(0x250, 0x2AF)) for _ in range(3)) for _ in range(90))
+    wide = " ".join(rng.choice(["international", "development", "information", "government", "environment", "administration", "organization", "communication"]) for _ in range(40)) + " " + " ".join(f"{'=' * 64} word{i}" for i in range(40))
+    few = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what".split()
+    dull = " ".join(rng.choice(few[:6]) if rng.random() < 0.93 else rng.choice(few) for _ in range(600))
+    rows = [("few", mash), ("bytes", rare), ("many", wide), ("entropy", dull)]
+    got = {r["name"]: r for r in fe.fertility(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert not any(got[n]["kept"] for n, _ in rows)
+    assert all(n in outside(got[n]) for n, _ in rows), {n: (outside(r), r["chars_per_token"], r["byte_share"], r["token_entropy"], r["n_tokens"]) for n, r in got.items()}
+
+
+def test_long_words_are_not_remembered():
+    counter = lm.Counter(lm.build(lm.read_vocabulary(lm.VOCABULARY)))
+    long = bytes(random.Random(1).choices(b"abcdefgh", k=5000))
+    first = [x.tolist() for x in counter.count([b"one two " + long, long])]
+    assert max(map(len, counter.known)) <= lm.LONG_WORD and first == [x.tolist() for x in counter.count([b"one two " + long, long])]
