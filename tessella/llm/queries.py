@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tessella.llm.fertility import op10_fertility
 from tessella.llm.flac import op2_flac
 from tessella.llm.language_id import op3_language
@@ -24,8 +26,13 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_packing": op9_packing,
     "op10_fertility": op10_fertility,
+    "x_flac_payload": lambda spark, folder: op2_flac(spark, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256"),
+    "x_mix_targets": lambda spark, folder: op6_source_mix(spark, folder).select("doc_id", "size", "source_size", F.round("target", 4).alias("target")),
+    "x_base_rules": lambda spark, folder: op10_fertility(spark, folder).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"),
 }
 
+#: The x_ queries are those columns of operators without SQL that SQL can recompute: what a decoded stream holds, the level
+#: of the water that fills the sources' targets, the base rules.
 #: Prefix filtering makes the similarity join exact and quick; the others say what the contract says. The remaining queries
 #: have no SQL form: they train models, search optima or read vocabularies. tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -57,4 +64,21 @@ edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id OR
 found AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(b, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM edges GROUP BY doc_id)
 SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM h LEFT JOIN found f ON f.doc_id = h.doc_id""",
+    "x_flac_payload": """
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents), p AS (SELECT *, greatest(192, CAST(ceil(n / 192.0) AS BIGINT) * 192) AS size FROM b)
+SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(t || repeat(' ', size - n)) AS payload_sha256 FROM p""",
+    "x_mix_targets": r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS w FROM d GROUP BY source),
+o AS (SELECT *, 2 * source_size / w AS full_at, coalesce(sum(2 * source_size) OVER before, 0) AS spent, sum(w) OVER (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free, 1.5 * sum(source_size) OVER () AS wanted FROM s WINDOW before AS (ORDER BY 2 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT coalesce(min_by((wanted - spent) / free, full_at), 0) AS level FROM o WHERE (wanted - spent) / free <= full_at)
+SELECT doc_id, size, source_size, round(least(2 * source_size, level * w), 4) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source, l""",
+    "x_base_rules": r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w) t),
+win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w) t),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win) t WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+ len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed FROM w JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN rep r ON r.doc_id = w.doc_id""",
 }
