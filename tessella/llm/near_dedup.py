@@ -36,7 +36,7 @@ BANDS, ROWS, BITS, SET_BITS = 48, 6, 1024, 2048
 #: Standard deviations below the threshold that a sketch may estimate before a pair is dropped.
 SLACK = 5.0
 #: Rows compared side by side; partners of a node in one group; most requests that are broadcast.
-BLOCK, PARTNERS, BROADCAST_ROWS = 512, 1024, 100_000
+BLOCK, PARTNERS, BROADCAST_ROWS = 512, 128, 100_000
 CHUNK, CACHE = 1 << 16, 200_000
 
 
