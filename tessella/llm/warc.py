@@ -64,7 +64,6 @@ def transaction(archive: str, row: int, page, url: str | None, payload: bytes, d
     told = ("WARC-Payload-Digest", f"sha1:{digest}")
     fields = [] if page is None else [f"page-id: {page}"]
     if revisits:
-        fields += [] if revisits[1] is None else [f"refers-to-page-id: {revisits[1]}"]
         answer = record(head("revisit", "response", "application/http; msgtype=response", told, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(archive, revisits[0], "response"))), http)
     else:
         answer = record(head("response", "response", "application/http; msgtype=response", told), http + payload)
@@ -232,10 +231,9 @@ def op1_transactions(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     captures = assemble(materialize(read_records(spark, path), "records"))  # parsed once for the joins that follow
-    fields = F.col("metadata")[0]["fields"]
-    page = F.element_at(fields, "page-id").cast("long")
-    refers = F.element_at(fields, "refers-to-page-id").cast("long")
-    return captures.select(
-        page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"), refers.alias("refers_to"),
-    )
+    page = F.element_at(F.col("metadata")[0]["fields"], "page-id").cast("long")
+    told = captures.select(page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "response.record_id", F.col("response.refers_to").alias("of"))
+    told = materialize(told, "captures")  # read anew, the join's skewed side can be split
+    asked = told.filter("of is not null").select(F.col("of").alias("record_id")).distinct()
+    named = materialize(told.join(asked, "record_id", "left_semi").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to")), "referred")
+    return told.join(named, "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
